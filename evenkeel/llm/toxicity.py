@@ -59,10 +59,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.5, decay: f
     size, positive = 1 << BITS, labels.sum()
     if not len(rows) or positive in (0, len(labels)):
         return ToxicityModel(np.zeros(size, np.float32), 40.0 if len(rows) and positive else -40.0)
-    column = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    in_toxic = np.bincount(column, weights=labels[row], minlength=size)
-    in_clean = np.bincount(column, minlength=size) - in_toxic
+    in_toxic, in_clean = np.zeros(size), np.zeros(size)
+    for r, y in zip(rows, labels, strict=True):
+        (in_toxic if y else in_clean)[r] += 1
     ratio = np.log((in_toxic + alpha) / (positive + 2 * alpha)) - np.log((in_clean + alpha) / (len(labels) - positive + 2 * alpha))
     # only n-grams whose toxic count is beyond what chance makes of so many features say
     # something about other documents
@@ -73,8 +72,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.5, decay: f
     used = np.flatnonzero(ratio)
     place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
-    keep = place[column] >= 0
-    row, column = row[keep], place[column[keep]]
+    kept = [p[p >= 0] for p in (place[r] for r in rows)]
+    column = np.concatenate(kept)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in kept])
     value = ratio[used][column]
     # of each class half the weight, so that the threshold does not follow the labels' share
     weight = np.where(labels == 1, 0.5 / positive, 0.5 / (len(labels) - positive))
