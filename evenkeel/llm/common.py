@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,3 +99,21 @@ def segments(data: bytes, size: int = SEGMENT, overlap: int = 0):
         return
     for i in range(0, len(data), size):
         yield data[i : i + size + overlap]
+
+
+_SPACE = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
+
+
+def pieces(data: bytes, size: int) -> Iterator[bytes]:
+    """Cut between words, into pieces of about ``size`` bytes."""
+    at = 0
+    while len(data) - at > size:
+        cut = max(data.rfind(s, at, at + size) for s in _SPACE)
+        if cut <= at:
+            after = [k for k in (data.find(s, at + size) for s in _SPACE) if k >= 0]
+            if not after:
+                break
+            cut = min(after)
+        yield data[at:cut]
+        at = cut
+    yield data[at:]

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import crc_mod, mix64, removed, scratch, text_or_empty
+from evenkeel.llm.common import crc_mod, mix64, pieces, removed, scratch, text_or_empty
 
 #: Bytes of text of a block.
 BLOCK = 6 << 20
@@ -48,22 +48,6 @@ BLOCK = 6 << 20
 CONCENTRATION = 50.0
 #: The end token; no word holds white space.
 END = b"\n"
-_SPACE = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
-
-
-def pieces(data: bytes, size: int) -> Iterator[bytes]:
-    """Cut between words, into pieces of about ``size`` bytes."""
-    at = 0
-    while len(data) - at > size:
-        cut = max(data.rfind(s, at, at + size) for s in _SPACE)
-        if cut <= at:
-            after = [k for k in (data.find(s, at + size) for s in _SPACE) if k >= 0]
-            if not after:
-                break
-            cut = min(after)
-        yield data[at:cut]
-        at = cut
-    yield data[at:]
 
 
 def packed(x: np.ndarray) -> bytes:

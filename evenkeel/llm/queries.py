@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evenkeel.llm.decontaminate import op2_decontamination
 from evenkeel.llm.langid import op10_language_id
+from evenkeel.llm.lm import op5_lm_scoring
+from evenkeel.llm.secret_scan import op6_secret_scans
+from evenkeel.llm.simhash import op7_simhash
+from evenkeel.llm.token_counts import op3_token_counts
+from evenkeel.llm.token_store import op1_token_store
 from evenkeel.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_store": op1_token_store,
+        "op2_decontamination": op2_decontamination,
+        "op3_token_counts": op3_token_counts,
+        "op5_lm_scoring": op5_lm_scoring,
+        "op6_secret_scans": op6_secret_scans,
+        "op7_simhash": op7_simhash,
         "op9_toxicity": op9_toxicity,
         "op10_language_id": op10_language_id,
     }
