@@ -99,12 +99,13 @@ def _fingerprinted(docs: DataFrame, sizes: list[int]) -> DataFrame:
 
 def _hits(docs: DataFrame, windows: DataFrame, sizes: list[int], first: bool) -> DataFrame:
     """(key, digest, n_words, start, n, wid): a row for each hit window, and in the first block one for each row of ``docs``."""
-    marked = _fingerprinted(docs, sizes).select("key", "digest", "words", "h", F.explode("marks").alias("m"))
+    # outer: Spark would otherwise repeat the whole expression in a filter below, at every level
+    marked = _fingerprinted(docs, sizes).select("key", "digest", "words", "h", F.explode_outer("marks").alias("m"))
     marked = marked.select("key", "digest", "words", "h", "m.*")
     prints = windows.select(F.col("n").alias("fp_n"), F.col("fp").alias("fp_hash")).distinct()
     met = marked.join(F.broadcast(prints), (F.col("fp") == F.col("fp_hash")) & (F.col("n") == F.col("fp_n")), "left")
     own = (F.col("n") == 0) if first else F.lit(False)
-    met = met.where(own | F.col("fp_hash").isNotNull()).select("key", "digest", "words", "h", F.col("n").alias("size"), F.explode(F.sequence("start", "end")).alias("place"))
+    met = met.where(own | F.col("fp_hash").isNotNull()).select("key", "digest", "words", "h", F.col("n").alias("size"), F.explode_outer(F.sequence("start", "end")).alias("place"))
     whash = F.lit(None).cast("long")
     for n in sizes:
         whash = F.when(F.col("size") == n, _run_hash("h", F.col("place"), n)).otherwise(whash)
