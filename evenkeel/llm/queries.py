@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evenkeel.llm.decontaminate import op2_decontamination
+from evenkeel.llm.digests import op8_document_fingerprints
 from evenkeel.llm.langid import op10_language_id
 from evenkeel.llm.lm import op5_lm_scoring
+from evenkeel.llm.packing import op4_packing
 from evenkeel.llm.secret_scan import op6_secret_scans
 from evenkeel.llm.simhash import op7_simhash
 from evenkeel.llm.token_counts import op3_token_counts
@@ -21,9 +23,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_store": op1_token_store,
         "op2_decontamination": op2_decontamination,
         "op3_token_counts": op3_token_counts,
+        "op4_packing": op4_packing,
         "op5_lm_scoring": op5_lm_scoring,
         "op6_secret_scans": op6_secret_scans,
         "op7_simhash": op7_simhash,
+        "op8_document_fingerprints": op8_document_fingerprints,
         "op9_toxicity": op9_toxicity,
         "op10_language_id": op10_language_id,
     }
