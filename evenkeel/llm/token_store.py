@@ -42,12 +42,13 @@ from pyspark.sql import functions as F
 from evenkeel.llm.common import mix64, saved, scratch, text_or_empty
 
 #: Chunks between blanks whose ids a worker keeps; a full memory starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 #: Keys of an index bucket, about.
 BUCKET_KEYS = 32_768
 #: Documents that a task holds before it writes them out, in ids.
 FLUSH_IDS = 1 << 20
 END_ID = 2
+_CLOSING = ".,"
 
 
 class Encoder:
@@ -63,24 +64,53 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self._ends_word = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        self._ends_word[[i for t, i in self._tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self._known: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self._known
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({c for t in chunks for c in t if c not in known})
+        new = {c for t in chunks for c in t if c not in known}
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             known[""] = b""
-            new = list({c for t in chunks for c in t if c})
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for chunk, found in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(found.ids, self.dtype).tobytes()
+            new = {c for t in chunks for c in t if c}
+        # (chunk, its word, its closing mark): a mark after a letter or digit is a word of
+        # its own to the tokenizer, and so are texts that differ in ASCII case the same
+        parts = []
+        for c in new:
+            cut = len(c) > 1 and c[-1] in _CLOSING and c[-2].isalnum()
+            word = c[:-1] if cut else c
+            parts.append((c, word.lower() if word.isascii() else word, c[-1] if cut else ""))
+        plain = {w for _, word, mark in parts for w in (word, mark)} - known.keys()
+        letters = [w for w in plain if w.isalpha()]
+        for k in range(0, len(letters), 4096):
+            self._encode_joined(letters[k : k + 4096])
+        self._encode_each(list(plain - known.keys()))
+        for c, word, mark in parts:
+            known[c] = known[word] + known[mark]
         end = np.array([END_ID], self.dtype).tobytes()
         return [b"".join(map(known.__getitem__, t)) + end for t in chunks]
 
 
+    def _encode_each(self, words: list[str]) -> None:
+        for k in range(0, len(words), 4096):
+            some = words[k : k + 4096]
+            for word, found in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self._known[word] = np.array(found.ids, self.dtype).tobytes()
+
+    def _encode_joined(self, words: list[str]) -> None:
+        """Words of letters as one text, cut after the ids that end a word; nothing if that doesn't fit."""
+        ids = np.array(self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = (np.flatnonzero(self._ends_word[ids]) + 1) * self.dtype.itemsize
+        if len(cuts) == len(words):
+            data, at = ids.tobytes(), 0
+            for word, cut in zip(words, cuts.tolist(), strict=True):
+                self._known[word] = data[at:cut]
+                at = cut
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
