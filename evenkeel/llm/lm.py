@@ -67,6 +67,15 @@ def unpacked_ascending(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
+def packed_places(x: np.ndarray) -> bytes:
+    """Places in a word list by byte planes; words in order of appearance have small places."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpacked_places(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
+
 def pair_hash(h: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix64(mix64(h[before]) * np.uint64(3) + h[after])
@@ -106,21 +115,19 @@ class Block:
         words = list(self.words)
         h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
         order = np.argsort(h, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        h = h[order]
-        yield "texts", 0, block, None, None, int(rank[0]), None, packed_ascending(h)
+        # the hashes in order of appearance, as the texts name the words
+        yield "texts", 0, block, None, None, 0, None, packed(h)
         counts, keys, trained = np.zeros(len(h), np.int64), [], []
         for row, train, before, ids in self.rows:
-            ids, first = rank[ids], int(rank[before])
-            yield "texts", 0, block, row, train, first, ids.astype("<u4").tobytes(), None
+            yield "texts", 0, block, row, train, before, packed_places(ids), None
             if len(ids):
-                pair = np.append(first, ids[:-1]) * len(h) + ids
+                pair = np.append(before, ids[:-1]) * len(h) + ids
                 keys.append(pair)
                 if train:
                     np.add.at(counts, ids, 1)
                     trained.append(pair)
-        cuts = _ranges(h, parts)
+        ascending, counts = h[order], counts[order]
+        cuts = _ranges(ascending, parts)
         for t in range(parts):
             a, b = cuts[t], cuts[t + 1]
             if a < b:
@@ -160,7 +167,7 @@ def _blocks(parts: int, schema: pa.Schema):
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
-        for batch in batches:
+        for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
             for key, text, train in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 before, n_rows = END, n_rows + 1
                 parts_of = list(pieces(text.encode().lower(), BLOCK))
@@ -234,15 +241,17 @@ def _score_block(n: int, v: int, concentration: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.select(["row", "key", "train", "first", "data", "counts"])
         head = [k for k, c in enumerate(rows.column("row").to_pylist()) if c is None][0]
-        h = unpacked_ascending(rows.column("counts")[head].as_py())
+        h = unpacked(rows.column("counts")[head].as_py())
         rows = pa.concat_tables([rows.slice(0, head), rows.slice(head + 1)])
-        texts = [np.frombuffer(x, "<u4").astype(np.int64) for x in rows.column("data").to_pylist()]
+        texts = [unpacked_places(x) for x in rows.column("data").to_pylist()]
         first = rows.column("first").to_pylist()
         got: dict[str, list] = {"words": [], "pairs": []}
         for kind, target, counts in zip(*(right.column(c).to_pylist() for c in ("kind", "target", "counts")), strict=True):
             got[kind].append((target, counts))
         answers = {k: np.concatenate([np.zeros(0, np.uint64), *(unpacked(c) for _, c in sorted(x))]).astype(np.float64) for k, x in got.items()}
-        counts = answers["words"]
+        # answers come in the order of the hashes
+        counts = np.empty(len(h))
+        counts[np.argsort(h, kind="stable")] = answers["words"]
         filled = [np.append(f, t[:-1]) * len(h) + t for f, t in zip(first, texts, strict=True) if len(t)]
         pairs = np.unique(np.concatenate(filled)) if filled else np.zeros(0, np.int64)
         seen = np.empty(len(pairs))
