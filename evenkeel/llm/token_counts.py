@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from evenkeel.llm.common import text_or_empty
 
 #: Chunks whose counts a worker keeps; a full memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 # fixed values: the word pattern of the public tokenizer file
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -117,12 +117,26 @@ class TokenCounter:
         self.automaton = LongestMatch(read_pieces(path))
         self._known: dict[str, tuple[int, int]] = {"": (0, 0)}
 
+    def _word(self, word: str) -> tuple[int, int]:
+        if word.isascii() and word.isalpha():
+            return 1, self.automaton.count(word.lower().encode())
+        words = WORDS.findall(unicodedata.normalize("NFC", word).lower())
+        return len(words), sum(self.automaton.count(w.encode()) for w in words)
+
     def _chunk(self, chunk: str) -> tuple[int, int]:
-        words = WORDS.findall(unicodedata.normalize("NFC", chunk).lower())
-        got = len(words), sum(self.automaton.count(w.encode()) for w in words)
-        if len(self._known) >= REMEMBERED:
-            self._known.clear()
-        self._known[chunk] = got
+        known = self._known
+        if len(known) >= REMEMBERED:
+            known.clear()
+            known[""] = (0, 0)
+        # a mark after a letter or digit is a word of its own, of one piece
+        if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalnum():
+            words, tokens = known.get(chunk[:-1]) or self._chunk(chunk[:-1])
+            got = words + 1, tokens + 1
+        else:
+            low = chunk.lower() if chunk.isascii() else chunk
+            got = known.get(low) or self._word(chunk)
+            known[low] = got
+        known[chunk] = got
         return got
 
     def count(self, text: str | None) -> tuple[int, int]:
