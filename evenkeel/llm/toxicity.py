@@ -16,6 +16,7 @@ result. Only the named columns are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ from evenkeel.llm.common import byte_ngrams, crc_mod, hashed_share, segments, te
 SIZES = (3, 4, 5, 6)
 BITS = 18
 #: Labelled rows of each class that training reads, chosen by a hash of their ids.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 #: Standard deviations by which an n-gram's toxic count must leave its expectation.
 SURPRISE = 6.0
 
@@ -43,6 +44,25 @@ def features(text: str | None) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.int32)
 
 
+def packed(x: np.ndarray) -> bytes:
+    return zlib.compress(np.diff(x, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+class PackedSets:
+    """Feature sets that are unpacked one by one, as often as they are gone through."""
+
+    def __init__(self, blobs: list[bytes]):
+        self._blobs = blobs
+
+    def __len__(self) -> int:
+        return len(self._blobs)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        for blob in self._blobs:
+            planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1)
+            yield np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1), dtype=np.int64)
+
+
 @dataclass
 class ToxicityModel:
     weights: np.ndarray
@@ -53,11 +73,11 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.5, decay: float = 1e-3, steps: int = 200) -> ToxicityModel:
+def fit(rows: PackedSets | list[np.ndarray], labels: np.ndarray, alpha: float = 0.5, decay: float = 1e-3, steps: int = 200) -> ToxicityModel:
     """Fit on feature sets and 0/1 labels. Without both classes the score is constant."""
     labels = np.asarray(labels, np.float64)
     size, positive = 1 << BITS, labels.sum()
-    if not len(rows) or positive in (0, len(labels)):
+    if not len(rows) or positive in (0, len(labels)):  # a constant score
         return ToxicityModel(np.zeros(size, np.float32), 40.0 if len(rows) and positive else -40.0)
     in_toxic, in_clean = np.zeros(size), np.zeros(size)
     for r, y in zip(rows, labels, strict=True):
@@ -95,7 +115,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.5, decay: f
 
 def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [features(x).tobytes() for x in batch.column("text").to_pylist()]
+        sets = [packed(features(x)) for x in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(sets, pa.binary())], ["toxic", "features"])
 
 
@@ -109,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(sample, "id").select("text", "toxic")
     got = texts.mapInArrow(_with_features, "toxic int, features binary").limit(4 * sample_rows).collect()
     got.sort(key=lambda r: (r["toxic"], bytes(r["features"])))
-    return fit([np.frombuffer(r["features"], np.int32) for r in got], np.array([r["toxic"] for r in got]))
+    return fit(PackedSets([bytes(r["features"]) for r in got]), np.array([r["toxic"] for r in got]))
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
