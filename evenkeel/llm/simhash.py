@@ -23,7 +23,7 @@ Finding the links takes three steps.
 
 Near groups of whole corpora (``near_groups``) use two wider fingerprints: one of the
 distinct words, whose bit blocks are the keys, and one of the distinct five-word
-shingles, of 1,024 bits, whose Hamming distance estimates the similarity of the shingle
+shingles, of 2,048 bits, whose Hamming distance estimates the similarity of the shingle
 sets: sets with Jaccard similarity J have cosine 2J / (1 + J), and vectors with an angle
 of a differ in a share of a / pi of the bits.
 
@@ -61,10 +61,10 @@ PIECE = 1 << 20
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
 WORD_LANES = 8
-NEAR_LANES = 16
+NEAR_LANES = 32
 KEY_BITS = 24
 #: Standard deviations of the estimate by which a pair may miss the similarity.
-SLACK = 1.0
+SLACK = 2.0
 
 
 def shingles(data: bytes, n: int) -> Iterator[list[bytes]]:
