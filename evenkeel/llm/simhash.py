@@ -60,7 +60,7 @@ PIECE = 1 << 20
 # near groups
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
-WORD_LANES = 8
+WORD_LANES = 12
 NEAR_LANES = 32
 KEY_BITS = 24
 #: Standard deviations of the estimate by which a pair may miss the similarity.
