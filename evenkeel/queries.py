@@ -16,7 +16,7 @@ from evenkeel.operators.bounds import boundary_ids, common_cutoff, edges, exact_
 from evenkeel.operators.compare import Options, compare, judged, status_counts
 from evenkeel.operators.localize import Difference, aligned, localize_bisect, localize_buckets
 from evenkeel.operators.setsum import set_hash
-from evenkeel.operators.verify import compare_keys, key_text, multiset_difference, row_difference, subset_verdict
+from evenkeel.operators.verify import compare_keys, duplicated_keys, key_text, multiset_difference, orphan_counts, row_difference, subset_verdict
 from evenkeel.plans.planner import TablePlan, hashed_rows, plan_table
 from evenkeel.plans.star import SHIFT, shifted, star_registry, star_side
 from evenkeel.sources.snapshot import Snapshot
@@ -436,6 +436,20 @@ def _row_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_difference(plan, *(hashed_rows(plan, s, REGISTRY) for s in (a, b)))
 
 
+@_query("duplicate_keys", f"select c_custkey + {SHIFT} as key, 2::bigint as n from customer where c_custkey % 11 = 0")
+def _duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, b = _two_sides(spark, sf_dir, {"customer": lambda t: t.unionByName(t.where(_number() % 11 == 0))})
+    return duplicated_keys(b, REGISTRY, "customer")
+
+
+@_query("orphan_counts", "select 'o_custkey' as \"column\", count(*) filter (o_custkey % 13 = 0)::bigint as nulls, count(*) filter (o_custkey % 13 <> 0 and o_custkey % 7 = 0)::bigint as orphans from orders")
+def _orphan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("o_custkey") - SHIFT
+    edit = lambda t: t.withColumn("o_custkey", F.when(number % 13 == 0, F.lit(None)).when(number % 7 == 0, F.lit(-1)).otherwise(F.col("o_custkey")))
+    a, b = _two_sides(spark, sf_dir, {"orders": edit})
+    return orphan_counts(_plan(a, b, "orders"), b, REGISTRY)
+
+
 # --- whole runs ------------------------------------------------------------------------
 
 _RUN = {  # table: (rows of A, rows of B, kind) under the edits of _whole_run, status
