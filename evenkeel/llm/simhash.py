@@ -21,11 +21,14 @@ Finding the links takes three steps.
    pairs. Alternating large-star and small-star rounds on the links, each written to
    the shared folder, lead every fingerprint to the smallest of its component.
 
-Near groups of whole corpora (``near_groups``) use two wider fingerprints: one of the
-distinct words, whose bit blocks are the keys, and one of the distinct five-word
-shingles, of 2,048 bits, whose Hamming distance estimates the similarity of the shingle
-sets: sets with Jaccard similarity J have cosine 2J / (1 + J), and vectors with an angle
-of a differ in a share of a / pi of the bits.
+Near groups of whole corpora (``near_groups``) take the sets of distinct five-word
+shingles. Their keys are the prefix filter's: with the sets in one common order, two sets
+of Jaccard similarity J or more share one of their first n - ceil(J n) + 1 shingles, n
+being the set's own size, so no such pair is missed. Any order is right; shingles that a
+sample shows to be frequent come last, the others by their hashes, so that common lines
+rarely are keys. Keys with the same members count once. Under a key the sets'
+fingerprints of 2,048 bits are compared: sets with similarity J have cosine
+2J / (1 + J), and vectors with an angle of a differ in a share of a / pi of the bits.
 
 Defined cases: null and empty texts have no words and fingerprint zero, and link like
 any other; texts with fewer words than a shingle are one shingle; texts of any length
@@ -45,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import mix64, pieces, saved, text_or_empty
+from evenkeel.llm.common import hashed_share, mix64, pieces, saved, text_or_empty
 
 RADIUS = 3
 SHINGLE = 3
@@ -60,9 +63,10 @@ PIECE = 1 << 20
 # near groups
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
-WORD_LANES = 12
 NEAR_LANES = 32
-KEY_BITS = 24
+#: Texts that are searched for frequent shingles, how many of them make one frequent, and
+#: how many of those are kept. They set the order of shingles, never what is found.
+HOT_TEXTS, HOT_LEAST, HOT_MOST = 8000, 8, 1 << 16
 #: Standard deviations of the estimate by which a pair may miss the similarity.
 SLACK = 2.0
 
@@ -112,16 +116,33 @@ def _lanes(h: np.ndarray, lanes: int) -> np.ndarray:
     return np.stack([mix64(h + np.uint64(k)) for k in range(lanes)], axis=1)
 
 
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """The sorted hashes of a text's distinct n-word shingles."""
+    hashes = [np.array([xxhash.xxh64_intdigest(s, SEED) for s in set(some)], np.uint64) for some in shingles((text or "").encode().lower(), n)]
+    return np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+
+
 def wide_fingerprint(text: str | None, n: int, lanes: int) -> bytes:
     """A fingerprint of 64 * lanes bits over the set of a text's n-word shingles."""
-    hashes = [np.array([xxhash.xxh64_intdigest(s, SEED) for s in set(some)], np.uint64) for some in shingles((text or "").encode().lower(), n)]
-    h = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+    return wide_bits(shingle_set(text, n), lanes)
+
+
+def wide_bits(h: np.ndarray, lanes: int) -> bytes:
     counts = np.zeros(64 * lanes, np.int64)
     for k in range(0, len(h), 1 << 14):
         counts += bit_counts(_lanes(h[k : k + (1 << 14)], lanes))
     return majority(counts, len(h)).tobytes()
 
 
+def prefix(h: np.ndarray, hot: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, ``hot`` ones last; sets of this similarity share one of theirs."""
+    if not len(h):
+        return np.zeros(1, np.uint64)
+    last = np.isin(h, hot)
+    ordered = np.concatenate([h[~last], h[last]])
+    return ordered[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
     """(id, fp): the fingerprint of each row as a signed long."""
 
@@ -239,12 +260,23 @@ def _stars(radius: int, lanes: int):
     return run
 
 
-def links(nodes: DataFrame, keys, radius: int, lanes: int) -> DataFrame:
+def once_each(keyed: DataFrame) -> DataFrame:
+    """Of keys that several nodes have, one for each set of nodes."""
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    common = saved(keyed.join(shared, "key").select("node", "key"), "postings")
+    members = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("again"), "node")).alias("y")]
+    chosen = common.groupBy("key").agg(F.count("*").alias("n"), *members).groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    return saved(common.join(chosen.select("key"), "key").select("node", "key"), "buckets")
+
+
+def links(nodes: DataFrame, keys, radius: int, lanes: int, *, thin: bool = False) -> DataFrame:
     """(a, b): links that connect what lies within ``radius`` and shares a key.
 
     ``nodes`` has node (long) and bits (binary); ``keys`` is an array column of longs.
+    ``thin``: keys of the same nodes count once.
     """
     keyed = nodes.select("node", F.explode(keys).alias("key"))
+    keyed = once_each(keyed) if thin else keyed
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # a large bucket's parts i and j meet in one task for each pair of parts
     parts = F.ceil(F.col("n") / BUCKET).cast("int")
@@ -306,29 +338,40 @@ def differing_bits(similarity: float, bits: int) -> int:
     return int(bits * share + SLACK * math.sqrt(bits * share * (1 - share)))
 
 
+def frequent_shingles(hashed: DataFrame) -> np.ndarray:
+    """Hashes of the shingles that many of a sample of the texts have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x, NEAR_SHINGLE).view(np.int64))], ["h"])
+
+    some = hashed.where(hashed_share(hashed.count(), HOT_TEXTS, "digest")).dropDuplicates(["digest"]).select("_hashed_text")
+    found = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_LEAST)
+    return np.array([r["h"] for r in found.orderBy(F.desc("n"), "h").limit(HOT_MOST).collect()], np.int64).view(np.uint64)
+
+
 def near_groups(docs: DataFrame, *, text_col: str = "text", similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """(digest, root): for every distinct text with near copies, its MD5 digest and that of its group's first text.
 
     Texts are near copies if their five-word shingle sets are similar by ``similarity``
     or more, as estimated by the fingerprints.
     """
+    hashed = docs.select(F.md5(text_or_empty(text_col).cast("binary")).alias("digest"), text_or_empty(text_col).alias("_hashed_text"))
+    hot = frequent_shingles(hashed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            words = pa.array([wide_fingerprint(x, 1, WORD_LANES) for x in texts], pa.binary())
-            near = pa.array([wide_fingerprint(x, NEAR_SHINGLE, NEAR_LANES) for x in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), words, near], ["digest", "words", "bits"])
+            sets = [shingle_set(x, NEAR_SHINGLE) for x in batch.column(1).to_pylist()]
+            bits = pa.array([wide_bits(h, NEAR_LANES) for h in sets], pa.binary())
+            keys = pa.array([prefix(h, hot, similarity).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), bits, keys], ["digest", "bits", "keys"])
 
-    hashed = docs.select(F.md5(text_or_empty(text_col).cast("binary")).alias("digest"), text_or_empty(text_col).alias("_hashed_text"))
-    prints = saved(hashed.mapInArrow(run, "digest string, words binary, bits binary"), "wide-fingerprints")
-    distinct = prints.groupBy("digest").agg(F.min("words").alias("words"), F.min("bits").alias("bits"))
+    prints = saved(hashed.mapInArrow(run, "digest string, bits binary, keys array<long>"), "wide-fingerprints")
+    distinct = prints.groupBy("digest").agg(F.first("bits").alias("bits"), F.first("keys").alias("keys"))
     # numbers that are written down once, and so stay
     nodes = saved(distinct.withColumn("node", F.monotonically_increasing_id()), "texts")
-    step = KEY_BITS // 8
-    keys = F.array(*(F.concat(F.lit(f"{k:02x}"), F.hex(F.substring("words", 1 + k * step, step))) for k in range(WORD_LANES * 8 // step)))
-    keys = F.transform(keys, lambda x: F.conv(x, 16, 10).cast("long"))
-    edges = links(nodes.select("node", "words", "bits"), keys, differing_bits(similarity, 64 * NEAR_LANES), NEAR_LANES)
+    edges = links(nodes, F.col("keys"), differing_bits(similarity, 64 * NEAR_LANES), NEAR_LANES, thin=True)
     roots = saved(components(edges), "components")
     names = nodes.select("node", "digest")
     return roots.join(names, "node").select("digest", "root").join(names.select(F.col("node").alias("root"), F.col("digest").alias("first")), "root").select("digest", F.col("first").alias("root"))

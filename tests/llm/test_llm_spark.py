@@ -184,6 +184,34 @@ def test_one_of_each_group(spark, docs, rows, empty):
     assert simhash.one_of_each_group(empty).count() == 0
 
 
+def jaccard(a, b):
+    a, b = (set(zip(*(x.split()[k:] for k in range(5)), strict=False)) for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def near_pairs(kinds):
+    """(base, edited) texts of new words, by (words, words appended, run of words replaced, pairs)."""
+    rng = random.Random(8)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for words, appended, replaced, pairs in kinds:
+        for _ in range(pairs):
+            base, at = new(words), (words - replaced) // 2
+            yield " ".join(base), " ".join(base[:at] + new(replaced) + base[at + replaced :] + new(appended))
+
+
+def linked_pairs(spark, pairs):
+    table = spark.createDataFrame([(t,) for pair in pairs for t in pair], "text string")
+    roots = dict(map(tuple, simhash.near_groups(table).collect()))
+    named = [[hashlib.md5(t.encode()).hexdigest() for t in pair] for pair in pairs]
+    return [a in roots and roots[a] == roots.get(b) for a, b in named]
+
+
+def test_near_copies_with_one_run_of_new_text_are_found(spark):
+    pairs = list(near_pairs([(400, 60, 0, 12), (100, 15, 0, 12), (400, 0, 30, 12)]))
+    assert all(0.83 < jaccard(*pair) < 0.88 for pair in pairs)
+    assert all(linked_pairs(spark, pairs))
+
+
 def brute_canonical(text):
     import unicodedata
 
