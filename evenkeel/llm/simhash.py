@@ -27,8 +27,12 @@ of Jaccard similarity J or more share one of their first n - ceil(J n) + 1 shing
 being the set's own size, so no such pair is missed. Any order is right; shingles that a
 sample shows to be frequent come last, the others by their hashes, so that common lines
 rarely are keys. Keys with the same members count once. Under a key the sets'
-fingerprints of 2,048 bits are compared: sets with similarity J have cosine
-2J / (1 + J), and vectors with an angle of a differ in a share of a / pi of the bits.
+fingerprints of 2,048 bits are compared, with a limit that a pair at J does not pass but
+once in 10^9: sets with similarity J have cosine 2J / (1 + J), and vectors with an angle
+of a differ in a share of a / pi of the bits; for small sets the share is counted out. The
+links so found only gather texts into clusters. In each cluster the sets themselves are
+compared, and only pairs whose true similarity is J or more are linked; texts that are
+already connected are not compared again. A large cluster is dealt out like a key.
 
 Defined cases: null and empty texts have no words and fingerprint zero, and link like
 any other; texts with fewer words than a shingle are one shingle; texts of any length
@@ -39,6 +43,7 @@ result. Only the named columns are read; ``one_of_each_group`` keeps all columns
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -67,8 +72,12 @@ NEAR_LANES = 32
 #: Texts that are searched for frequent shingles, how many of them make one frequent, and
 #: how many of those are kept. They set the order of shingles, never what is found.
 HOT_TEXTS, HOT_LEAST, HOT_MOST = 8000, 8, 1 << 16
-#: Standard deviations of the estimate by which a pair may miss the similarity.
-SLACK = 2.0
+#: Standard deviations of the estimate by which a candidate may miss the similarity.
+SLACK = 6.0
+#: Sets up to this size have their share of differing bits counted out.
+SMALL_SET = 48
+#: Texts of a cluster that are compared at once; larger clusters are dealt out in parts.
+CLUSTER = 1024
 
 
 def shingles(data: bytes, n: int) -> Iterator[list[bytes]]:
@@ -214,8 +223,41 @@ def connected(fps: np.ndarray, radius: int) -> np.ndarray:
     return labels
 
 
-def _stars(radius: int, lanes: int):
-    """Links of each bucket; rows come sorted by bucket."""
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set of distinct hashes, the first of its component at this Jaccard similarity."""
+    n = len(sets)
+    forest = Forest(n)
+    sizes = np.array([len(x) for x in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(len(ids), bool)
+    for k in range(n - 1):
+        other = k + 1 + np.flatnonzero(forest.labels[k + 1 :] != forest.labels[k])
+        other = other[np.minimum(sizes[other], sizes[k]) >= similarity * np.maximum(sizes[other], sizes[k]) - 1e-9]
+        if not len(other):
+            continue
+        mine = ids[starts[k] : starts[k + 1]]
+        mark[mine] = True
+        if len(other) * 8 < n - k:
+            common = np.array([np.count_nonzero(mark[ids[starts[x] : starts[x + 1]]]) for x in other])
+        else:
+            common = np.add.reduceat(mark[ids], starts[:-1], dtype=np.int64)[other]
+        mark[mine] = False
+        close = other[common / (sizes[k] + sizes[other] - common) >= similarity]
+        forest.join(np.full(len(close), k), close)
+    return forest.labels
+
+
+def _near_bits(radius: int, lanes: int):
+    return lambda bits: connected(np.frombuffer(b"".join(bits), "<u8").reshape(-1, lanes), radius)
+
+
+def _near_sets(similarity: float):
+    return lambda sets: alike([np.frombuffer(x, "<u8") for x in sets], similarity)
+
+
+def _stars(labelled):
+    """Links of each bucket, of whose members' bytes ``labelled`` makes components; rows come sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -223,16 +265,12 @@ def _stars(radius: int, lanes: int):
         def links(rows: pa.Table) -> pa.RecordBatch:
             key = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
             node = rows.column("node").to_numpy()
-            fps = np.frombuffer(b"".join(rows.column("bits").to_pylist()), "<u8").reshape(-1, lanes)
+            bits = rows.column("bits").to_pylist()
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi - lo == 2:
-                    if np.bitwise_count(fps[lo] ^ fps[lo + 1]).sum() <= radius:
-                        a.append(node[lo + 1 : hi])
-                        b.append(node[lo : lo + 1])
-                elif hi - lo > 2:
-                    labels = connected(fps[lo:hi], radius)
+                if hi - lo > 1:
+                    labels = labelled(bits[lo:hi])
                     other = np.flatnonzero(labels != np.arange(hi - lo))
                     a.append(node[lo:hi][other])
                     b.append(node[lo:hi][labels[other]])
@@ -276,10 +314,14 @@ def links(nodes: DataFrame, keys, radius: int, lanes: int, *, thin: bool = False
     ``thin``: keys of the same nodes count once.
     """
     keyed = nodes.select("node", F.explode(keys).alias("key"))
-    keyed = once_each(keyed) if thin else keyed
+    return met_links(nodes, once_each(keyed) if thin else keyed, _near_bits(radius, lanes), BUCKET)
+
+
+def met_links(nodes: DataFrame, keyed: DataFrame, labelled, bucket: int) -> DataFrame:
+    """(a, b): links of all that share a key in ``keyed`` (node, key), as ``labelled`` makes them of the nodes' bits."""
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # a large bucket's parts i and j meet in one task for each pair of parts
-    parts = F.ceil(F.col("n") / BUCKET).cast("int")
+    parts = F.ceil(F.col("n") / bucket).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     met = (
         keyed.join(shared.withColumn("parts", parts), "key")
@@ -288,7 +330,7 @@ def links(nodes: DataFrame, keys, radius: int, lanes: int, *, thin: bool = False
         .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node")
     )
     spread = met.join(nodes, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return spread.select("key", "i", "j", "node", "bits").mapInArrow(_stars(radius, lanes), "a long, b long").distinct()
+    return spread.select("key", "i", "j", "node", "bits").mapInArrow(_stars(labelled), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -332,9 +374,26 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
+@functools.cache
+def differing_share(similarity: float) -> float:
+    """The largest share of bits in which fingerprints of sets with this Jaccard similarity differ."""
+
+    def binomial(n: int) -> np.ndarray:
+        return np.array([math.comb(n, k) for k in range(n + 1)]) / 2.0**n
+
+    most = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    for x in range(1, SMALL_SET + 1):
+        for y in range(x, int(x / similarity + 1e-9) + 1):
+            for both in range(math.ceil(similarity * (x + y) / (1 + similarity) - 1e-9), x + 1):
+                # a bit is set in each set where more than half of its hashes have it
+                p, q = (np.array([binomial(n - both)[max(0, n // 2 + 1 - c) :].sum() for c in range(both + 1)]) for n in (x, y))
+                most = max(most, float(binomial(both) @ (p * (1 - q) + q * (1 - p))))
+    return most
+
+
 def differing_bits(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints of sets with this Jaccard similarity differ, with some slack."""
-    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    """Bits in which fingerprints of sets with this Jaccard similarity differ at most, with some slack."""
+    share = differing_share(similarity)
     return int(bits * share + SLACK * math.sqrt(bits * share * (1 - share)))
 
 
@@ -351,11 +410,30 @@ def frequent_shingles(hashed: DataFrame) -> np.ndarray:
     return np.array([r["h"] for r in found.orderBy(F.desc("n"), "h").limit(HOT_MOST).collect()], np.int64).view(np.uint64)
 
 
+def only_named(prints: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows of ``prints`` (digest, bits), once each, with the digests of ``named`` and few others.
+
+    One bit for each digest's hash keeps most of the others from being shuffled.
+    """
+    size = 1 << max(10, (16 * named.count()).bit_length())
+    at = F.xxhash64("digest").bitwiseAND(F.lit(size - 1))
+    words = named.select(at.alias("at")).groupBy(F.shiftright("at", 3).alias("word")).agg(F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("set")).collect()
+    table = np.zeros(size >> 3, np.uint8)
+    table[[w["word"] for w in words]] = [w["set"] for w in words]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            yield batch.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)).select([0, 1])
+
+    return prints.withColumn("at", at).mapInArrow(run, prints.schema).groupBy("digest").agg(F.first("bits").alias("bits"))
+
+
 def near_groups(docs: DataFrame, *, text_col: str = "text", similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """(digest, root): for every distinct text with near copies, its MD5 digest and that of its group's first text.
 
-    Texts are near copies if their five-word shingle sets are similar by ``similarity``
-    or more, as estimated by the fingerprints.
+    Texts are near copies if the Jaccard similarity of their five-word shingle sets is
+    ``similarity`` or more.
     """
     hashed = docs.select(F.md5(text_or_empty(text_col).cast("binary")).alias("digest"), text_or_empty(text_col).alias("_hashed_text"))
     hot = frequent_shingles(hashed)
@@ -365,15 +443,22 @@ def near_groups(docs: DataFrame, *, text_col: str = "text", similarity: float =
             sets = [shingle_set(x, NEAR_SHINGLE) for x in batch.column(1).to_pylist()]
             bits = pa.array([wide_bits(h, NEAR_LANES) for h in sets], pa.binary())
             keys = pa.array([prefix(h, hot, similarity).view(np.int64) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), bits, keys], ["digest", "bits", "keys"])
+            # sets without any shingle are alike
+            whole = pa.array([(h if len(h) else np.zeros(1, np.uint64)).tobytes() for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), bits, keys, whole], ["digest", "bits", "keys", "whole"])
 
-    prints = saved(hashed.mapInArrow(run, "digest string, bits binary, keys array<long>"), "wide-fingerprints")
+    prints = saved(hashed.mapInArrow(run, "digest string, bits binary, keys array<long>, whole binary"), "wide-fingerprints")
     distinct = prints.groupBy("digest").agg(F.first("bits").alias("bits"), F.first("keys").alias("keys"))
     # numbers that are written down once, and so stay
     nodes = saved(distinct.withColumn("node", F.monotonically_increasing_id()), "texts")
     edges = links(nodes, F.col("keys"), differing_bits(similarity, 64 * NEAR_LANES), NEAR_LANES, thin=True)
+    clusters = components(edges).select("node", F.col("root").alias("key"))
+    clusters = saved(clusters.join(nodes.select("node", "digest"), "node"), "clusters")
+    sets = only_named(prints.select("digest", F.col("whole").alias("bits")), clusters)
+    members = saved(clusters.join(sets, "digest").select("node", "key", "bits"), "members")
+    edges = met_links(members.select("node", "bits"), members.select("node", "key"), _near_sets(similarity), CLUSTER)
     roots = saved(components(edges), "components")
-    names = nodes.select("node", "digest")
+    names = clusters.select("node", "digest")
     return roots.join(names, "node").select("digest", "root").join(names.select(F.col("node").alias("root"), F.col("digest").alias("first")), "root").select("digest", F.col("first").alias("root"))
 
 

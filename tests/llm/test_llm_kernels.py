@@ -135,6 +135,22 @@ def test_wide_fingerprints_estimate_similarity():
     assert abs(apart - 1024 * math.acos(2 * jaccard / (1 + jaccard)) / math.pi) < 50
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 60))
+def test_prefixes_meet_and_alike_sets_are_joined(seed, n):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 62, 12).astype(np.uint64)
+    sets = [np.unique(rng.choice(base, rng.integers(1, 12))) for _ in range(n)]
+    hot = base[:4]
+    forest = simhash.Forest(n)
+    for i, j in itertools.combinations(range(n), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+            assert len(np.intersect1d(simhash.prefix(sets[i], hot, 0.8), simhash.prefix(sets[j], hot, 0.8)))
+            forest.join(np.array([i]), np.array([j]))
+    assert (simhash.alike(sets, 0.8) == forest.labels).all()
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 

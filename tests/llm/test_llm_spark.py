@@ -212,6 +212,20 @@ def test_near_copies_with_one_run_of_new_text_are_found(spark):
     assert all(linked_pairs(spark, pairs))
 
 
+def test_near_groups_are_those_of_true_similarity(monkeypatch, spark):
+    pairs = list(near_pairs([(400, 99, 0, 6), (100, 24, 0, 6), (8, 1, 0, 10), (400, 0, 39, 6), (12, 1, 1, 6), (200, 60, 0, 6), (204, 0, 42, 6)]))
+    rng = random.Random(5)
+    pairs += [(x, " ".join(x.split()[:-1] + [f"v{rng.randrange(10**9)}"])) for n in (10, 12) for x in (" ".join(f"u{rng.randrange(10**9)}" for _ in range(n)) for _ in range(10))]
+    assert linked_pairs(spark, pairs) == [jaccard(*pair) >= 0.8 for pair in pairs]
+    # a chain that only its neighbours hold together, larger than a part of a cluster
+    base = [f"z{rng.randrange(10**9)}" for _ in range(100)]
+    chain = [" ".join(base[k * 3 :] + [f"n{j}" for j in range(k * 3)]) for k in range(12)]
+    assert jaccard(chain[0], chain[1]) >= 0.8 > jaccard(chain[0], chain[4])
+    monkeypatch.setattr(simhash, "CLUSTER", 3)
+    monkeypatch.setattr(simhash, "BUCKET", 3)
+    assert all(linked_pairs(spark, [(chain[0], x) for x in chain[1:]]))
+
+
 def brute_canonical(text):
     import unicodedata
 
