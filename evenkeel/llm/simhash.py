@@ -43,6 +43,7 @@ result. Only the named columns are read; ``one_of_each_group`` keeps all columns
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import math
 from collections.abc import Iterator
@@ -50,7 +51,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.llm.common import hashed_share, mix64, pieces, saved, text_or_empty
@@ -78,6 +79,8 @@ SLACK = 6.0
 SMALL_SET = 48
 #: Texts of a cluster that are compared at once; larger clusters are dealt out in parts.
 CLUSTER = 1024
+#: Texts whose sets are held at a time, and rows that Spark hands over with their sets.
+HELD, SET_ROWS = 256, 1000
 
 
 def shingles(data: bytes, n: int) -> Iterator[list[bytes]]:
@@ -410,6 +413,21 @@ def frequent_shingles(hashed: DataFrame) -> np.ndarray:
     return np.array([r["h"] for r in found.orderBy(F.desc("n"), "h").limit(HOT_MOST).collect()], np.int64).view(np.uint64)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it lasts, Python gets at most so many rows at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def only_named(prints: DataFrame, named: DataFrame) -> DataFrame:
     """Rows of ``prints`` (digest, bits), once each, with the digests of ``named`` and few others.
 
@@ -439,13 +457,13 @@ def near_groups(docs: DataFrame, *, text_col: str = "text", similarity: float =
     hot = frequent_shingles(hashed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(x, NEAR_SHINGLE) for x in batch.column(1).to_pylist()]
+        for some in (batch.slice(k, HELD) for batch in batches for k in range(0, batch.num_rows, HELD)):
+            sets = [shingle_set(x, NEAR_SHINGLE) for x in some.column(1).to_pylist()]
             bits = pa.array([wide_bits(h, NEAR_LANES) for h in sets], pa.binary())
             keys = pa.array([prefix(h, hot, similarity).view(np.int64) for h in sets], pa.list_(pa.int64()))
             # sets without any shingle are alike
             whole = pa.array([(h if len(h) else np.zeros(1, np.uint64)).tobytes() for h in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), bits, keys, whole], ["digest", "bits", "keys", "whole"])
+            yield pa.RecordBatch.from_arrays([some.column(0), bits, keys, whole], ["digest", "bits", "keys", "whole"])
 
     prints = saved(hashed.mapInArrow(run, "digest string, bits binary, keys array<long>, whole binary"), "wide-fingerprints")
     distinct = prints.groupBy("digest").agg(F.first("bits").alias("bits"), F.first("keys").alias("keys"))
@@ -454,9 +472,11 @@ def near_groups(docs: DataFrame, *, text_col: str = "text", similarity: float =
     edges = links(nodes, F.col("keys"), differing_bits(similarity, 64 * NEAR_LANES), NEAR_LANES, thin=True)
     clusters = components(edges).select("node", F.col("root").alias("key"))
     clusters = saved(clusters.join(nodes.select("node", "digest"), "node"), "clusters")
-    sets = only_named(prints.select("digest", F.col("whole").alias("bits")), clusters)
-    members = saved(clusters.join(sets, "digest").select("node", "key", "bits"), "members")
-    edges = met_links(members.select("node", "bits"), members.select("node", "key"), _near_sets(similarity), CLUSTER)
+    # rows with whole sets are large, so fewer of them go to Python at a time
+    with batches_of(docs.sparkSession, SET_ROWS):
+        sets = only_named(prints.select("digest", F.col("whole").alias("bits")), clusters)
+        members = saved(clusters.join(sets, "digest").select("node", "key", "bits"), "members")
+        edges = saved(met_links(members.select("node", "bits"), members.select("node", "key"), _near_sets(similarity), CLUSTER), "near-links")
     roots = saved(components(edges), "components")
     names = clusters.select("node", "digest")
     return roots.join(names, "node").select("digest", "root").join(names.select(F.col("node").alias("root"), F.col("digest").alias("first")), "root").select("digest", F.col("first").alias("root"))
