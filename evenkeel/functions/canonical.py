@@ -1,7 +1,7 @@
 """Canonical text of values, row digests, and the additive set-hash.
 
-A value's text is the same in every session: decimals at a fixed scale, doubles as
-decimals, timestamps as microseconds in UTC, binary as lower-case hex. A row is the
+A value's text is the same in every session: decimals at a fixed scale, doubles in full
+precision (a registry can name columns that are rounded to a scale), timestamps as microseconds in UTC, binary as lower-case hex. A row is the
 concatenation of its values, each as ``length:text``, with ``N`` for null, so that no two
 rows collide by their separators and null differs from the empty string.
 
@@ -18,14 +18,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Decimal places to which doubles are brought before they become text.
-DOUBLE_SCALE = 2
 
+def canonical_text(value: Column, kind: T.DataType, scale: int | None = None) -> Column:
+    """The text of one value; null stays null.
 
-def canonical_text(value: Column, kind: T.DataType) -> Column:
-    """The text of one value; null stays null."""
+    Doubles and floats that differ have different texts, and 0.0 and -0.0 the same; with
+    a ``scale`` they are brought to so many decimal places first.
+    """
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return value.cast(T.DecimalType(18 + DOUBLE_SCALE, DOUBLE_SCALE)).cast("string")
+        if scale is not None:
+            return value.cast(T.DecimalType(18 + scale, scale)).cast("string")
+        # a float is a double of the same value, and a double's text reads back as that double
+        wide = value.cast("double")
+        return F.when(wide == 0, F.lit("0.0")).otherwise(wide.cast("string"))
     if isinstance(kind, T.TimestampNTZType):
         # by difference, so that a session's time zone does not shift it
         return _ntz_micros(value)
@@ -43,17 +48,17 @@ def _ntz_micros(value: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, value).cast("string")
 
 
-def encoded(values: Sequence[tuple[Column, T.DataType]]) -> Column:
-    """The injective text of a row; empty for no values."""
+def encoded(values: Sequence[tuple[Column, T.DataType]], scales: Sequence[int | None] = ()) -> Column:
+    """The injective text of a row; empty for no values. ``scales`` has one entry for each value, or none."""
     parts = []
-    for value, kind in values:
-        text = canonical_text(value, kind)
+    for (value, kind), scale in zip(values, scales or [None] * len(values), strict=True):
+        text = canonical_text(value, kind, scale)
         parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("N")))
     return F.concat(*parts) if parts else F.lit("")
 
 
-def row_digest(values: Sequence[tuple[Column, T.DataType]]) -> Column:
-    return F.md5(encoded(values).cast("binary"))
+def row_digest(values: Sequence[tuple[Column, T.DataType]], scales: Sequence[int | None] = ()) -> Column:
+    return F.md5(encoded(values, scales).cast("binary"))
 
 
 def digest_part(digest: Column, start: int) -> Column:

@@ -160,7 +160,7 @@ def hashed_rows(plan: TablePlan, side: Snapshot, registry: Registry, bound: Colu
         kinds |= {(join.alias, f.name): f.dataType for f in target.schema.fields}
         found = target.select(F.col(f"`{key}`").alias(f"{join.alias}#"), *(F.col(f"`{c}`").alias(f"{join.alias}.{c}") for c in sorted(wanted)))
         rows = rows.join(found, F.col(f"`{join.parent}.{join.column}`") == F.col(f"`{join.alias}#`"), "left")
-    digest = row_digest([(F.col(f"`{alias}.{c}`"), kinds[alias, c]) for alias, c in plan.values])
+    digest = row_digest([(F.col(f"`{alias}.{c}`"), kinds[alias, c]) for alias, c in plan.values], [registry.scales.get(c) for _, c in plan.values])
     return rows.select(digest.alias("digest"), "value", *extra)
 
 

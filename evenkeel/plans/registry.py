@@ -50,6 +50,8 @@ class Registry:
     value_columns: tuple[str, ...] = ()
     #: table -> its surrogate key, ``id`` where not given
     surrogates: Mapping[str, str] = field(default_factory=dict)
+    #: double column -> decimal places to which it is rounded before hashing; others keep full precision
+    scales: Mapping[str, int] = field(default_factory=dict)
     #: columns that may legitimately differ, by table
     ignored: Mapping[str, frozenset[str]] = field(default_factory=dict)
 

@@ -20,6 +20,8 @@ NATURAL_KEYS = {
     "supplier": (KeyPart("s_name"),),
     "orders": (KeyPart("o_custkey", "customer"), KeyPart("o_block")),
 }
+#: Sums of money and the like, which the SQL over these tables reads as decimals.
+SCALES = dict.fromkeys(("c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "value"), 2)
 #: What a side's surrogate keys are shifted by.
 SHIFT = 100_000
 
@@ -38,6 +40,7 @@ def star_registry() -> Registry:
         epoch="day",
         value_columns=("l_extendedprice", "o_totalprice", "value"),
         surrogates=SURROGATES,
+        scales=SCALES,
     )
 
 

@@ -116,7 +116,7 @@ def _plan(a: Snapshot, b: Snapshot, table: str, *, full: bool = True, depth: int
 def _all_columns(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     kinds = {f.name: f.dataType for f in rows.schema.fields}
-    return rows.withColumn("digest", row_digest([(F.col(c), kinds[c]) for c in sorted(rows.columns)])).withColumn("value", F.lit(None).cast("decimal(38,6)"))
+    return rows.withColumn("digest", row_digest([(F.col(c), kinds[c]) for c in sorted(rows.columns)], [REGISTRY.scales.get(c) for c in sorted(rows.columns)])).withColumn("value", F.lit(None).cast("decimal(38,6)"))
 
 
 @_query("row_digest", f"select l_orderkey, l_partkey, l_suppkey, l_linenumber, {_digest(_COLUMNS['lineitem'])} as digest from lineitem")
@@ -505,7 +505,7 @@ def _ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("windowed_hash_events", f"select epoch_us(date_trunc('day', ts)) as window_start, {_SUMS} from (select ts, {_digest('event_id event_type props ts user_id value')} as h from events) group by 1")
 def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    found = windowed_set_hash(events, "ts", ["event_id", "event_type", "props", "ts", "user_id", "value"])
+    found = windowed_set_hash(events, "ts", ["event_id", "event_type", "props", "ts", "user_id", "value"], scales=REGISTRY.scales)
     return _as_text(found).withColumn("window_start", F.unix_micros("window_start"))
 
 

@@ -17,7 +17,7 @@ from evenkeel.operators.localize import aligned, leaf_starts, walk
 from evenkeel.operators.setsum import SetHash, set_hash
 from evenkeel.operators.verify import compare_keys, subset_verdict
 from evenkeel.plans.chain import chain_registry
-from evenkeel.plans.planner import explain, plan_table
+from evenkeel.plans.planner import explain, hashed_rows, plan_table
 from evenkeel.sources.snapshot import Snapshot, TableFacts, jdbc_label, secret_free_label
 from evenkeel.streaming.windows import windowed_set_hash
 
@@ -75,6 +75,19 @@ def test_unknown_tables_are_compared_whole_and_text_is_no_value(spark):
     assert found.kind == "accumulator" and found.value_column is None
 
 
+def test_doubles_are_hashed_in_full_precision_unless_a_scale_is_given(spark):
+    df = spark.createDataFrame([(x,) for x in (0.0000721, 0.0012, 0.015, 0.0199, 0.1, 0.1 + 2**-56, 1e300, 2e300, 0.0, -0.0, float("nan"), None)], "d double")
+    kind = df.schema["d"].dataType
+    assert df.select(row_digest([(F.col("d"), kind)]).alias("h")).distinct().count() == 11
+    some = df.where("abs(d) < 1")
+    assert some.select(row_digest([(F.col("d"), kind)], [2]).alias("h")).distinct().count() == 3
+    kinds = {"block": "id long, block_no int, epoch_no int, rate double"}
+    side = [Snapshot.from_frames(n, {"block": spark.createDataFrame([(1, 1, 0, rate)], kinds["block"])}) for n, rate in (("a", 0.0000721), ("b", 0.0012))]
+    made = plan_table("block", *side, REGISTRY)
+    assert ("t0", "rate") in made.values
+    assert len({hashed_rows(made, s, REGISTRY).first()["digest"] for s in side}) == 2
+
+
 def test_digests_tell_null_from_empty_and_do_not_run_together(spark):
     df = spark.createDataFrame([(None, "x"), ("", "x"), ("N", "x"), ("x", ""), ("1:x", "")], "a string, b string")
     kinds = {f.name: f.dataType for f in df.schema.fields}
