@@ -279,6 +279,21 @@ _query("spine_window_cutoff", f"select 'a' as side, 0 as low, max(o_orderkey) as
 _query("spine_window_block_range", f"select 'a' as side, min(o_orderkey) as low, max(o_orderkey) as high from orders where o_orderkey between 100 and 300 union all select 'b', min(o_orderkey) + {SHIFT}, max(o_orderkey) + {SHIFT} from orders where o_orderkey between 100 and 300")(_ranges((100, 300)))
 
 
+def _tip_ranges(window: bool) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        a, b = _two_sides(spark, sf_dir)
+        cut = _tip_gap(a)
+        rows = [(name, *spine_ranges(side, REGISTRY, cut, (cut // 9, cut) if window else None)["orders"]) for name, side in (("a", a), ("b", b))]
+        return spark.createDataFrame(rows, "side string, low long, high long")
+
+    return run
+
+
+# the same over the whole history: up to nine tenths of the tip, not a fixed order number
+_query("spine_window_cutoff_tip", f"select 'a' as side, 0::bigint as low, max(o_orderkey) as high from orders where o_orderkey <= {_TIP} union all select 'b', 0, max(o_orderkey) + {SHIFT} from orders where o_orderkey <= {_TIP}")(_tip_ranges(False))
+_query("spine_window_block_range_tip", f"select 'a' as side, min(o_orderkey) as low, max(o_orderkey) as high from orders where o_orderkey between {_TIP} // 9 and {_TIP} union all select 'b', min(o_orderkey) + {SHIFT}, max(o_orderkey) + {SHIFT} from orders where o_orderkey between {_TIP} // 9 and {_TIP}")(_tip_ranges(True))
+
+
 @_query("epoch_bounded_events", _hash_sql(_HASHED["events"], f"t.day <= (select {_DAY} - 2 from events)"))
 def _epoch_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = star_side(spark, sf_dir)
@@ -293,6 +308,13 @@ def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_text(set_hash(hashed_rows(plan, exact_bound(a, REGISTRY, plan, 500), REGISTRY)))
 
 
+@_query("exact_bounding_tip", _hash_sql(_HASHED["lineitem"], f"t.l_orderkey <= {_TIP}"))
+def _exact_tip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = star_side(spark, sf_dir)
+    plan = _plan(a, a, "lineitem")
+    return _as_text(set_hash(hashed_rows(plan, exact_bound(a, REGISTRY, plan, _tip_gap(a)), REGISTRY)))
+
+
 _EDGES = "(select unnest(range(0, 1001, 62)) as edge union select 1000)"
 
 
@@ -312,6 +334,25 @@ def _align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(zip(kept, second, strict=True)), "edge long, y long")
 
 
+_TIP_EDGES = f"(select unnest(range(0, cut + 1, greatest(1, cut // 16))) as edge from (select {_TIP} as cut) union select {_TIP})"
+
+
+@_query("boundary_ids_tip", f"select edge::bigint as edge, min(o_orderkey) as first_id from {_TIP_EDGES} e left join orders on o_orderkey >= edge group by edge")
+def _boundaries_tip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = star_side(spark, sf_dir)
+    at = edges(_tip_gap(a), 16)
+    return spark.createDataFrame(list(zip(at, boundary_ids(a, REGISTRY, "orders", at), strict=True)), "edge long, first_id long")
+
+
+@_query("align_boundaries_tip", f"with f as (select edge, min(o_orderkey) as x, min(case when o_orderkey % 200 >= 100 then o_orderkey end) + {SHIFT} as y from {_TIP_EDGES} e join orders on o_orderkey >= edge group by edge) select min(edge)::bigint as edge, y from f where y is not null group by y")
+def _align_tip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = star_side(spark, sf_dir)
+    b = shifted(a, {"orders": lambda t: t.where(F.col("o_block") % 200 >= 100)})
+    at = edges(_tip_gap(a), 16)
+    kept, _, second = aligned(at, *(boundary_ids(s, REGISTRY, "orders", at) for s in (a, b)))
+    return spark.createDataFrame(list(zip(kept, second, strict=True)), "edge long, y long")
+
+
 # --- buckets and localization ----------------------------------------------------------
 
 

@@ -18,6 +18,7 @@ from evenkeel.operators.setsum import SetHash, set_hash
 from evenkeel.operators.verify import compare_keys, subset_verdict
 from evenkeel.plans.chain import chain_registry
 from evenkeel.plans.planner import explain, hashed_rows, plan_table
+from evenkeel.queries import oracle_sql, queries
 from evenkeel.sources.snapshot import Snapshot, TableFacts, jdbc_label, secret_free_label
 from evenkeel.streaming.windows import windowed_set_hash
 
@@ -75,6 +76,23 @@ def test_unknown_tables_are_compared_whole_and_text_is_no_value(spark):
     assert found.kind == "accumulator" and found.value_column is None
 
 
+@pytest.mark.parametrize("name", ["exact_bounding_tip", "boundary_ids_tip", "align_boundaries_tip", "spine_window_cutoff_tip", "spine_window_block_range_tip"])
+def test_bounds_relative_to_the_tip_agree_with_their_sql(spark, name):
+    import duckdb
+
+    sf_dir = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for table in ("orders", "lineitem", "customer", "supplier"):
+        db.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
+    expected = db.execute(oracle_sql()[name]).fetchall()
+    assert sorted(map(tuple, queries()[name](spark, sf_dir).collect())) == sorted(expected)
+    last = db.execute("select max(o_orderkey) from orders").fetchone()[0]
+    if name.startswith("boundary"):
+        assert max(x for x, _ in expected) >= 9 * last // 10
+    if name.startswith("exact"):
+        assert expected[0][0] > db.execute("select count(*) from lineitem").fetchone()[0] * 0.8
+
+
 def test_doubles_are_hashed_in_full_precision_unless_a_scale_is_given(spark):
     df = spark.createDataFrame([(x,) for x in (0.0000721, 0.0012, 0.015, 0.0199, 0.1, 0.1 + 2**-56, 1e300, 2e300, 0.0, -0.0, float("nan"), None)], "d double")
     kind = df.schema["d"].dataType
