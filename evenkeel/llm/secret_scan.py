@@ -139,15 +139,25 @@ def _base(text: str, longest: int) -> list[tuple[int, int, int]]:
     return spans
 
 
+def parts(run: str) -> list[tuple[int, str]]:
+    """(offset, part) of a run: itself, or where no alphabet holds it what ``-_`` or what ``+/`` separate.
+
+    The separators are those that leave the longer part, ``-_`` where both do.
+    """
+    if encoding_of(run):
+        return [(0, run)]
+    cuts = [[(m.start(), m[0]) for m in re.finditer(p, run)] for p in (r"[^-_]+", r"[^+/]+")]
+    return max(cuts, key=lambda found: max((len(x) for _, x in found), default=0))
+
+
 def _random(text: str) -> list[tuple[int, int, int]]:
     runs = []
-    for m in _RUN.finditer(text):
-        run = m[0]
+    for start, run in ((m.start() + k, part) for m in _RUN.finditer(text) for k, part in parts(m[0]) if len(part) >= SHORTEST):
         if not _DIGIT.search(run) and not (_LOWER.search(run) and _UPPER.search(run)):
             continue
         encoding = encoding_of(run)
         if encoding and len(run) * math.log2(len(ALPHABETS[encoding])) >= LEAST_BITS:
-            runs.append((m.start(), m.end(), randomness(run, encoding)))
+            runs.append((start, start + len(run), randomness(run, encoding)))
     let_go = rejected([r[2] for r in runs], [r[1] - r[0] for r in runs])
     return [(start, 3, end) for (start, end, _), no in zip(runs, let_go, strict=True) if not no]
 

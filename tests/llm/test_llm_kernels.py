@@ -151,6 +151,18 @@ def test_prefixes_meet_and_alike_sets_are_joined(seed, n):
     assert (simhash.alike(sets, 0.8) == forest.labels).all()
 
 
+def test_random_runs_behind_a_prefix_of_another_alphabet_are_found():
+    rng = random.Random(2)
+    body = "".join(rng.choices(secret_scan.ALPHABETS["base64"], k=30)) + "+a/9" + "".join(rng.choices(secret_scan.ALPHABETS["base64"], k=30))
+    for before in ("key-", "my_api_key-"):
+        text = f"see {before}{body} there"
+        spans = secret_scan.scan(text)[1]
+        assert any(text[start:end] == body for start, _, end in spans), spans
+        assert body not in secret_scan.redact(text)
+    body = body.replace("+", "-").replace("/", "_")
+    assert body not in secret_scan.redact(f"path/{body} there")
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
