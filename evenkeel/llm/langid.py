@@ -106,17 +106,19 @@ def _with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([c.astype(np.float32).tobytes() for _, c in rows], pa.binary())], ["lang", "counts"])
 
 
-def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", usable: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", usable: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Train on the documents that have a language; ``usable`` limits them."""
     known = docs.where(F.col(lang_col).isNotNull())
     known = known.where(usable) if usable is not None else known
-    known = known.select(F.col(lang_col).cast("string").alias("lang"), text_or_empty(text_col).alias("text"))
-    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("id", "text")).alias("n")).collect()}
     counts: dict[str, np.ndarray] = {}
     chosen = F.lit(False)
     for language, n in sorted(rows.items()):
-        chosen = chosen | ((F.col("lang") == language) & hashed_share(n, sample_rows, "text"))
-    sample = known.where(chosen).mapInArrow(_with_counts, "lang string, counts binary").limit(2 * sample_rows * max(1, len(rows)))
+        chosen = chosen | ((F.col("lang") == language) & hashed_share(n, sample_rows, "id", "text"))
+    # rows that agree in id and text count once, so about sample_rows of each language are drawn
+    drawn = known.where(chosen).dropDuplicates(["lang", "id", "text"]).select("lang", "text")
+    sample = drawn.mapInArrow(_with_counts, "lang string, counts binary")
     by: dict[str, list[bytes]] = {}
     for r in sample.collect():
         by.setdefault(r["lang"], []).append(bytes(r["counts"]))

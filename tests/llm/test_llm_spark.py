@@ -286,6 +286,14 @@ def test_classifiers_on_odd_tables(spark, docs, rows, empty):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.train(empty)).collect()} == {"und"}
 
 
+def test_languages_of_copies_are_learned(spark):
+    one = [(k, "wort und satz " * 3, "de") for k in range(3000)]
+    again = [(9000, "mot et phrase", "fr")] * 3000
+    others = [(5000 + k, f"some words {WORDS[k % 30]} {WORDS[k // 30]}", "en") for k in range(600)]
+    model = langid.train(spark.createDataFrame(one + again + others, "doc_id long, text string, lang string"), sample_rows=40)
+    assert sorted(model.languages) == ["de", "en", "fr"]
+
+
 def test_pipeline_stages(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
