@@ -5,7 +5,9 @@ single blanks and trimmed. Its fingerprint is a wide xxhash of that form, two 64
 hashes of it as 32 hexadecimal digits. Texts meet by wide hash; inside a bucket that
 several texts share, the canonical forms themselves are compared, byte by byte. Should
 different forms ever share a hash, their fingerprints get ``-1``, ``-2``, ... by order
-of the forms, so equal fingerprints always mean equal forms. As the digest is exact,
+of the forms, so equal fingerprints of documents always mean equal forms. Edited forms are
+only looked up among the documents' and not compared with each other, so
+``edited_fingerprint`` is as sure as the 128 bits of its hash. As the digest is exact,
 the likeness of two fingerprints is 1 if they are equal and 0 if not.
 
 ``edited_against_next`` puts documents in ascending order of their ids over all tasks:
