@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.buckets import bucket_of
-from evenkeel.plans.planner import TablePlan
+from evenkeel.plans.planner import TablePlan, named
 from evenkeel.plans.registry import Registry
 from evenkeel.sources.snapshot import Snapshot
 
@@ -35,11 +35,11 @@ class Tip:
 def tip(side: Snapshot, registry: Registry) -> Tip:
     if registry.root not in side:
         raise EmptyHistory(f"{side.label} has no table {registry.root}")
-    found = side[registry.root].agg(F.max(registry.coordinate).alias("block")).first()["block"]
+    found = side[registry.root].agg(F.max(named(registry.coordinate)).alias("block")).first()["block"]
     if found is None:
         raise EmptyHistory(f"{side.label} has no {registry.coordinate} in {registry.root}")
     root = registry.epoch_root or registry.root
-    epoch = side[root].agg(F.max(registry.epoch).alias("epoch")).first()["epoch"] if registry.epoch and root in side else None
+    epoch = side[root].agg(F.max(named(registry.epoch)).alias("epoch")).first()["epoch"] if registry.epoch and root in side else None
     return Tip(int(found), None if epoch is None else int(epoch))
 
 
@@ -52,8 +52,8 @@ def common_cutoff(a: Tip, b: Tip, *, cutoff_block: int | None = None, block_marg
 
 def _ends(table: DataFrame, column: str, key: str, low: int, high: int) -> IdRange:
     """Ids of the first and last row by (column, id) of those with ``column`` in a range."""
-    order = F.struct(column, key)
-    row = table.where(F.col(column).between(low, high)).agg(F.min_by(key, order).alias("low"), F.max_by(key, order).alias("high")).first()
+    id_, order = named(key), F.struct(named(column).alias("at"), named(key).alias("id"))
+    row = table.where(named(column).between(low, high)).agg(F.min_by(id_, order).alias("low"), F.max_by(id_, order).alias("high")).first()
     return None if row["low"] is None else (int(row["low"]), int(row["high"]))
 
 
@@ -68,11 +68,11 @@ def spine_ranges(side: Snapshot, registry: Registry, cutoff: int, window: tuple[
         if spine not in side:
             found[spine] = None
         elif step is None:
-            key, coordinate = registry.surrogate(spine), registry.coordinate
             if window is not None:
-                found[spine] = _ends(side[spine], coordinate, key, *window)
+                found[spine] = _ends(side[spine], registry.coordinate, registry.surrogate(spine), *window)
             else:
-                last = side[spine].where(F.col(coordinate) <= cutoff).agg(F.max_by(key, F.struct(coordinate, key)).alias("high")).first()["high"]
+                key, at = named(registry.surrogate(spine)), named(registry.coordinate)
+                last = side[spine].where(at <= cutoff).agg(F.max_by(key, F.struct(at.alias("at"), key.alias("id"))).alias("high")).first()["high"]
                 found[spine] = None if last is None else (0, int(last))
         else:
             parent, column = step
@@ -86,11 +86,11 @@ def bound(plan: TablePlan, ranges: dict[str, IdRange], cutoff_epoch: int | None,
     anchor = plan.anchor
     if anchor.kind == "ids":
         ids = ranges.get(anchor.spine)
-        return False if ids is None else F.col(anchor.column).between(*ids)
+        return False if ids is None else named(anchor.column).between(*ids)
     if window:
         return False
     if anchor.kind == "epoch":
-        return False if cutoff_epoch is None else F.col(anchor.column) <= cutoff_epoch
+        return False if cutoff_epoch is None else named(anchor.column) <= cutoff_epoch
     return True
 
 
@@ -99,10 +99,10 @@ def coordinates(side: Snapshot, registry: Registry, spine: str) -> DataFrame:
     step = registry.spines[spine]
     key = registry.surrogate(spine)
     if step is None:
-        return side[spine].select(F.col(key).alias("id"), F.col(registry.coordinate).alias("coordinate"))
+        return side[spine].select(named(key).alias("id"), named(registry.coordinate).alias("coordinate"))
     parent, column = step
     above = coordinates(side, registry, parent).withColumnRenamed("id", "_above")
-    return side[spine].select(F.col(key).alias("id"), F.col(column).alias("_up")).join(above, F.col("_up") == F.col("_above")).select("id", "coordinate")
+    return side[spine].select(named(key).alias("id"), named(column).alias("_up")).join(above, F.col("_up") == F.col("_above")).select("id", "coordinate")
 
 
 def exact_bound(side: Snapshot, registry: Registry, plan: TablePlan, cutoff: int) -> Snapshot:
@@ -110,7 +110,7 @@ def exact_bound(side: Snapshot, registry: Registry, plan: TablePlan, cutoff: int
     if plan.anchor.kind != "ids":
         return side
     inside = coordinates(side, registry, plan.anchor.spine).where(F.col("coordinate").isNull() | (F.col("coordinate") <= cutoff)).select(F.col("id").alias("_inside"))
-    table = side[plan.name].join(inside, F.col(plan.anchor.column) == F.col("_inside"), "left_semi")
+    table = side[plan.name].join(inside, named(plan.anchor.column) == F.col("_inside"), "left_semi")
     return Snapshot(side.label, side.tables | {plan.name: table}, side.facts)
 
 

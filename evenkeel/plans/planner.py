@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -46,8 +46,8 @@ class TablePlan:
 class _Draft:
     """Joins and values gathered so far; a key that is not resolved leaves nothing behind."""
 
-    def __init__(self, registry: Registry, shared: Mapping[str, set[str]], depth: int):
-        self.registry, self.shared, self.depth = registry, shared, depth
+    def __init__(self, registry: Registry, shared: Mapping[str, set[str]], depth: int, declared: Mapping[str, str]):
+        self.registry, self.shared, self.depth, self.declared = registry, shared, depth, declared
         self.joins: dict[tuple[str, str, str], JoinStep] = {}
         self.values: list[tuple[str, str]] = []
         self.skipped: list[str] = []
@@ -82,7 +82,8 @@ class _Draft:
         return found
 
     def add(self, table: str, column: str) -> None:
-        target = self.registry.target(table, column)
+        # what is known of the schema goes before what a database declares of its keys
+        target = self.registry.target(table, column) or self.declared.get(column)
         if target is None:
             if self.registry.points_somewhere(table, column):
                 self.skipped.append(f"{column} (UNMAPPED FK -> excluded)")
@@ -101,6 +102,11 @@ class _Draft:
             self.values += key
 
 
+def named(column: str) -> Column:
+    """A column of just this name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def shared_columns(a: Snapshot, b: Snapshot) -> dict[str, set[str]]:
     return {t: set(a.columns(t)) & set(b.columns(t)) for t in a.tables if t in b}
 
@@ -112,7 +118,8 @@ def plan_table(name: str, a: Snapshot, b: Snapshot, registry: Registry, *, full:
     shared = shared if shared is not None else shared_columns(a, b)
     giant = name in registry.giants and not full
     anchor = registry.anchor(name)
-    draft = _Draft(registry, shared, giant_depth if giant else FULL_DEPTH)
+    first, second = a.foreign_keys(name), b.foreign_keys(name)
+    draft = _Draft(registry, shared, giant_depth if giant else FULL_DEPTH, {c: t for c, t in first.items() if second.get(c) == t})
     left_out = {registry.surrogate(name)} | a.generated(name) | b.generated(name) | registry.ignored.get(name, frozenset())
     for column in sorted(shared[name] - left_out):
         draft.add(name, column)
@@ -139,29 +146,48 @@ def _value_column(name: str, a: Snapshot, b: Snapshot, registry: Registry, share
     return next((c for c in registry.value_columns if c in shared and registry.target(name, c) is None and numeric(a, c) and numeric(b, c)), None)
 
 
-def hashed_rows(plan: TablePlan, side: Snapshot, registry: Registry, bound: Column | bool = True, extra: Mapping[str, Column] | None = None) -> DataFrame:
-    """(digest, value, extra columns) of the bounded rows of one side.
+def hashed_rows(
+    plan: TablePlan,
+    side: Snapshot,
+    registry: Registry,
+    bound: Column | bool = True,
+    extra: Mapping[str, Column] | None = None,
+    *,
+    path: Sequence[tuple[str, str]] = (),
+    placed: Mapping[str, tuple[str, Callable[[Column], Column]]] | None = None,
+) -> DataFrame:
+    """(digest, value, extra columns, placed columns) of the bounded rows of one side.
 
     The bound and the columns go below the joins, to the scan. Small targets are
-    broadcast if Spark finds them small; nothing is hinted.
+    broadcast if Spark finds them small; nothing is hinted. ``placed``: functions of
+    columns of the row that ``path``, steps of (column, target), leads to; the plan's
+    own joins are used as far as they go the same way.
     """
+    joins, end = list(plan.joins), BASE
+    for column, target in path:
+        step = next((j for j in joins if (j.parent, j.column, j.target) == (end, column, target)), None)
+        if step is None:
+            joins.append(step := JoinStep(end, column, target, f"p{len(joins) + 1}"))
+        end = step.alias
+    placed = dict(placed or {})
+    read = [*plan.values, *((j.parent, j.column) for j in joins), *((end, c) for c, _ in placed.values())]
     base = side[plan.name]
     if bound is not True:
         base = base.where(bound if isinstance(bound, Column) else F.lit(bound))
     extra = dict(extra or {})
-    needed = {c for alias, c in plan.values if alias == BASE} | {j.column for j in plan.joins if j.parent == BASE}
-    value = F.col(plan.value_column) if plan.value_column else F.lit(None)
-    rows = base.select(*(F.col(f"`{c}`").alias(f"{BASE}.{c}") for c in sorted(needed)), value.cast("decimal(38,6)").alias("value"), *(c.alias(k) for k, c in extra.items()))
+    needed = {c for alias, c in read if alias == BASE}
+    value = named(plan.value_column) if plan.value_column else F.lit(None)
+    rows = base.select(*(named(c).alias(f"{BASE}.{c}") for c in sorted(needed)), value.cast("decimal(38,6)").alias("value"), *(c.alias(k) for k, c in extra.items()))
     kinds = {(BASE, f.name): f.dataType for f in side[plan.name].schema.fields}
-    for join in plan.joins:
+    for join in joins:
         target = side[join.target]
         key = registry.surrogate(join.target)
-        wanted = {c for alias, c in plan.values if alias == join.alias} | {j.column for j in plan.joins if j.parent == join.alias}
+        wanted = {c for alias, c in read if alias == join.alias}
         kinds |= {(join.alias, f.name): f.dataType for f in target.schema.fields}
-        found = target.select(F.col(f"`{key}`").alias(f"{join.alias}#"), *(F.col(f"`{c}`").alias(f"{join.alias}.{c}") for c in sorted(wanted)))
-        rows = rows.join(found, F.col(f"`{join.parent}.{join.column}`") == F.col(f"`{join.alias}#`"), "left")
-    digest = row_digest([(F.col(f"`{alias}.{c}`"), kinds[alias, c]) for alias, c in plan.values], [registry.scales.get(c) for _, c in plan.values])
-    return rows.select(digest.alias("digest"), "value", *extra)
+        found = target.select(named(key).alias(f"{join.alias}#"), *(named(c).alias(f"{join.alias}.{c}") for c in sorted(wanted)))
+        rows = rows.join(found, named(f"{join.parent}.{join.column}") == named(f"{join.alias}#"), "left")
+    digest = row_digest([(named(f"{alias}.{c}"), kinds[alias, c]) for alias, c in plan.values], [registry.scales.get(c) for _, c in plan.values])
+    return rows.select(digest.alias("digest"), "value", *extra, *(of(named(f"{end}.{c}")).alias(k) for k, (c, of) in placed.items()))
 
 
 def explain(plan: TablePlan) -> list[str]:

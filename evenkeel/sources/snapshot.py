@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 @dataclass(frozen=True)
 class TableFacts:
-    """What Parquet does not record: key columns, and columns the database generates."""
+    """What Parquet does not record: key columns, columns the database generates, and declared foreign keys (column to table)."""
 
     primary_key: tuple[str, ...] = ()
     generated: frozenset[str] = frozenset()
+    foreign_keys: Mapping[str, str] = field(default_factory=dict)
 
 
 @dataclass
@@ -37,6 +38,12 @@ class Snapshot:
     def generated(self, name: str) -> frozenset[str]:
         return self.facts.get(name, TableFacts()).generated
 
+    def foreign_keys(self, name: str) -> Mapping[str, str]:
+        return self.facts.get(name, TableFacts()).foreign_keys
+
+    def has_primary_key(self, name: str, column: str) -> bool:
+        return self.facts.get(name, TableFacts()).primary_key == (column,)
+
     @classmethod
     def from_frames(cls, label: str, tables: Mapping[str, DataFrame], facts: Mapping[str, TableFacts] | None = None) -> Snapshot:
         return cls(label, dict(tables), dict(facts or {}))
@@ -60,16 +67,61 @@ class Snapshot:
         return cls(database, {n: spark.table(f"`{database}`.`{n}`") for n in sorted(listed)}, dict(facts or {}))
 
     @classmethod
-    def from_jdbc(cls, spark: SparkSession, url: str, names: list[str], *, partition_column: str = "id", partitions: int = 16, bounds: Mapping[str, tuple[int, int]] | None = None, facts: Mapping[str, TableFacts] | None = None, **options: str) -> Snapshot:
-        """Tables of a database by JDBC, read in ranges of ``partition_column`` where ``bounds`` has them."""
-        tables = {}
+    def from_jdbc(cls, spark: SparkSession, url: str, names: list[str], *, partition_column: str = "id", partitions: int = 16, facts: Mapping[str, TableFacts] | None = None, **options: str) -> Snapshot:
+        """Tables of a database by JDBC, with what it declares of their keys.
+
+        A table with a whole-numbered ``partition_column`` is read in ``partitions`` ranges
+        between its least and greatest value, which the database is asked for. ``options``
+        are the JDBC reader's, ``user`` and ``password`` among them.
+        """
+
+        def reader(query: str) -> DataFrame:
+            return spark.read.format("jdbc").option("url", url).option("dbtable", query).options(**options).load()
+
+        def opened(name: str) -> DataFrame:
+            table = reader(name)
+            column = next((c for c, kind in table.dtypes if c.lower() == partition_column.lower() and kind in ("int", "bigint")), None)
+            if column is None or partitions < 2:
+                return table
+            # one row, computed by the database
+            ends = reader(f"(select min({column}) as low, max({column}) as high from {name}) ends").first()
+            if ends[0] is None:
+                return table
+            cut = {"partitionColumn": column, "lowerBound": str(int(ends[0])), "upperBound": str(int(ends[1]) + 1), "numPartitions": str(partitions)}
+            return spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options).options(**cut).load()
+
+        return cls(jdbc_label(url), {n: opened(n) for n in names}, dict(facts if facts is not None else jdbc_facts(spark, url, names, options)))
+
+
+def jdbc_facts(spark: SparkSession, url: str, names: list[str], options: Mapping[str, str]) -> dict[str, TableFacts]:
+    """Primary keys, generated columns and declared foreign keys, from the database's own catalog."""
+    jvm = spark.sparkContext._jvm
+    properties = jvm.java.util.Properties()
+    for key, value in options.items():
+        properties.setProperty(key, value)
+    connection = jvm.java.sql.DriverManager.getConnection(url, properties)
+
+    def listed(rows, *columns: str) -> list[tuple]:
+        out = []
+        while rows.next():
+            out.append(tuple(rows.getString(c) for c in columns))
+        rows.close()
+        return out
+
+    try:
+        catalog = connection.getMetaData()
+        upper = catalog.storesUpperCaseIdentifiers()
+        facts = {}
         for name in names:
-            reader = spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options)
-            if name in (bounds or {}):
-                low, high = bounds[name]
-                reader = reader.option("partitionColumn", partition_column).option("lowerBound", low).option("upperBound", high).option("numPartitions", partitions)
-            tables[name] = reader.load()
-        return cls(jdbc_label(url), tables, dict(facts or {}))
+            stored = name.upper() if upper else name
+            given = (lambda x: x.lower()) if upper else (lambda x: x)
+            keys = listed(catalog.getPrimaryKeys(None, None, stored), "KEY_SEQ", "COLUMN_NAME")
+            made = listed(catalog.getColumns(None, None, stored, None), "COLUMN_NAME", "IS_GENERATEDCOLUMN")
+            links = listed(catalog.getImportedKeys(None, None, stored), "FKCOLUMN_NAME", "PKTABLE_NAME")
+            facts[name] = TableFacts(tuple(given(c) for _, c in sorted(keys, key=lambda x: int(x[0]))), frozenset(given(c) for c, yes in made if yes == "YES"), {given(c): given(t) for c, t in links})
+        return facts
+    finally:
+        connection.close()
 
 
 def jdbc_label(url: str) -> str:
@@ -80,5 +132,6 @@ def jdbc_label(url: str) -> str:
 
 
 def secret_free_label(name: str | None, host: str | None = None) -> str:
-    """``name@host``; a socket path as host is left out."""
-    return f"{name or '?'}@{host}" if host and not os.path.isabs(host) else name or "?"
+    """What a report calls a database: its name, and where it runs if that is a host and no socket's path."""
+    known = [x for x in (name or "?", host) if x and not os.path.isabs(x)]
+    return "@".join(known)

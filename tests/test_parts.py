@@ -9,13 +9,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from evenkeel.cli import block_range, main, parser
+from evenkeel.cli import block_range, main, parser, read_settings
 from evenkeel.functions.buckets import bucket_of
 from evenkeel.functions.canonical import row_digest
 from evenkeel.operators.compare import judge
-from evenkeel.operators.localize import aligned, leaf_starts, walk
+from evenkeel.operators.localize import aligned, halved, localize_bisect
 from evenkeel.operators.setsum import SetHash, set_hash
-from evenkeel.operators.verify import compare_keys, subset_verdict
+from evenkeel.operators.verify import anchor_warning, compare_keys, subset_verdict
 from evenkeel.plans.chain import chain_registry
 from evenkeel.plans.planner import explain, hashed_rows, plan_table
 from evenkeel.queries import oracle_sql, queries
@@ -143,18 +143,32 @@ def test_alignment():
     assert aligned([0, 1, 2], [10, 5, 20], [100, 200, 300]) == ([0, 2], [10, 20], [100, 300])
 
 
-@given(st.dictionaries(st.integers(0, 200), st.integers(1, 9), max_size=30), st.dictionaries(st.integers(0, 200), st.integers(1, 9), max_size=30), st.integers(0, 20))
-def test_walking_leaves_equals_scanning_again(one, two, width):
-    def scan(side, a, b):
-        return SetHash(sum(1 for k in side if a <= k <= b), sum(v for k, v in side.items() if a <= k <= b))
-
-    direct = walk(0, 200, width, lambda a, b: (scan(one, a, b), scan(two, a, b)), "block_no")
-    starts = leaf_starts(0, 200, width)
-    assert starts == sorted(starts) and starts[0] == 0
-    assert all(d.low in starts for d in direct) and len(direct) <= 8
-
-
-@pytest.mark.parametrize("thresholds", [[], [5], [0, 3, 3, 9], list(range(0, 1000, 7))])
+@given(st.integers(0, 50), st.integers(0, 400), st.integers(0, 20), st.integers(2, 64))
+def test_halving_covers_the_range_and_ends_at_the_width(low, size, width, most):
+    windows = halved([(low, low + size)], width, most)
+    assert [x for a, b in windows for x in range(a, b + 1)] == list(range(low, low + size + 1))
+    assert len(windows) <= most and (all(b - a <= width for a, b in windows) or 2 * len(windows) > most)
+    # halved further where it stopped, it ends at the same windows
+    assert halved(windows, width) == halved([(low, low + size)], width)
+
+
+@pytest.mark.parametrize("most", [4, 4096])
+def test_bisection_finds_the_first_windows_that_differ(spark, monkeypatch, most):
+    monkeypatch.setattr(halved, "__defaults__", (most,))
+    kinds = {"block": "id long, block_no int, epoch_no int, hash string"}
+    rows = [(k + 1, k, 0, f"h{k}") for k in range(100)]
+    other = [(k, n, e, "x" if n in (7, 8, 40, 41, 90) else h) for k, n, e, h in rows if n != 77]
+    a, b = (Snapshot.from_frames(n, {"block": spark.createDataFrame(x, kinds["block"])}) for n, x in (("a", rows), ("b", other)))
+    plan = plan_table("block", a, b, REGISTRY)
+    for width, first in ((0, 8), (5, 8), (5, 2)):
+        leaves = halved([(0, 99)], width, 4096)
+        expected = [(x, y) for x, y in leaves if any(x <= n <= y for n in (7, 8, 40, 41, 77, 90))][:first]
+        found = localize_bisect(plan, a, b, REGISTRY, 0, 99, 99, None, width=width, most=first)
+        assert [(d.low, d.high) for d in found] == expected
+        assert all((d.n1, d.n2) == (d.high - d.low + 1, d.high - d.low + 1 - (d.low <= 77 <= d.high)) for d in found)
+
+
+@pytest.mark.parametrize("thresholds", [[], [5], [0, 3, 3, 9], [0, 1, 500], [0, 4, 9, 13, 17, 22], [3, 4, 5], list(range(0, 1000, 7))])
 def test_buckets_count_thresholds(spark, thresholds):
     values = [None, -1, 0, 3, 4, 9, 500, 5000]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(bucket_of(F.col("v"), thresholds)).collect()]
@@ -188,11 +202,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([*where, "--json", str(tmp_path / "r.json")]) == 0
     report = json.loads((tmp_path / "r.json").read_text())
     assert report["db1"] == "one" and [r["status"] for r in report["results"]] == ["MATCH", "MATCH"]
-    assert main([*where, "--plan"]) == 0 and "tx_out: giant" in capsys.readouterr().out
+    assert main([*where, "--plan", "--check-anchors", "--conf", "spark.sql.shuffle.partitions=4"]) == 0
+    said = capsys.readouterr().out
+    assert "tx_out: giant" in said and "bound in one: " in said and "PushedFilters" in said
     assert main(["--db1", str(tmp_path / "none"), "--db2", str(tmp_path / "two")]) == 2
     two = snapshot(spark, "x", rows(100, 7))["tx_out"].withColumn("value", F.col("value") + Decimal(1))
     two.write.mode("overwrite").parquet(str(tmp_path / "two" / "tx_out.parquet"))
+    capsys.readouterr()
     assert main([*where, "--no-localize"]) == 1
+    said = capsys.readouterr().out
+    assert "[HASH_DIFF] tx_out: 10 rows on both sides" in said and "1 match" in said and "1 discrepancies" in said
 
 
 def test_a_stream_gives_what_a_batch_gives(spark, tmp_path):
@@ -211,3 +230,46 @@ def test_catalog_views_are_left_out(spark):
     spark.sql("create or replace view parts.epoch as select * from parts.epoch_finalized")
     assert list(Snapshot.from_catalog(spark, "parts").tables) == ["epoch_finalized"]
     spark.sql("drop database parts cascade")
+
+
+def test_a_database_is_read_in_ranges_with_its_keys(spark):
+    connection = spark._jvm.java.sql.DriverManager.getConnection("jdbc:derby:memory:parts;create=true")
+    say = connection.createStatement()
+    say.execute("create table block (id bigint primary key, block_no int, twice int generated always as (block_no * 2))")
+    say.execute("create table tx (id bigint primary key, block_id bigint references block (id), odd_id bigint references block (id))")
+    for k in range(10):
+        say.execute(f"insert into block (id, block_no) values ({k + 1}, {k})")
+        say.execute(f"insert into tx values ({k + 100}, {k + 1}, {k + 1})")
+    side = Snapshot.from_jdbc(spark, "jdbc:derby:memory:parts", ["block", "tx"], partitions=3)
+    assert side["block"].rdd.getNumPartitions() == 3 and side["block"].count() == 10
+    assert side.facts["block"] == TableFacts(("id",), frozenset({"twice"}), {})
+    assert side.facts["tx"].foreign_keys == {"block_id": "block", "odd_id": "block"}
+    assert side.has_primary_key("block", "id") and not side.has_primary_key("tx", "block_id")
+
+
+def test_declared_keys_are_followed_where_both_sides_declare_them(spark):
+    frames = {"block": spark.createDataFrame([], "id long, hash binary, block_no int"), "tx": spark.createDataFrame([], "id long, odd_id long, hash binary")}
+    plain = Snapshot.from_frames("a", frames)
+    declared = Snapshot.from_frames("b", frames, {"tx": TableFacts(foreign_keys={"odd_id": "block"})})
+    assert any("UNMAPPED" in x for x in plan_table("tx", plain, declared, REGISTRY).skipped)
+    made = plan_table("tx", declared, declared, REGISTRY)
+    assert not made.skipped and [(j.column, j.target) for j in made.joins] == [("odd_id", "block")]
+
+
+def test_odd_column_names(spark):
+    side = Snapshot.from_frames("a", {"block": spark.createDataFrame([(1, 0, 2, "x")], "id long, block_no int, `a``b.c` int, `select` string")})
+    made = plan_table("block", side, side, REGISTRY)
+    assert {c for _, c in made.values} >= {"a`b.c", "select"} and hashed_rows(made, side, REGISTRY).count() == 1
+
+
+def test_files_that_a_bound_cannot_skip_are_warned_of(spark, tmp_path):
+    made = plan(spark, "tx", {"tx": "id long, block_id long, hash binary", "block": "id long, hash binary, block_no int"})
+    table = spark.range(1000).selectExpr("id", "id as block_id", "cast(null as binary) as hash")
+    for name, dealt in (("sorted", table.repartitionByRange(8, "id")), ("mixed", table.repartition(8))):
+        dealt.write.parquet(str(tmp_path / name))
+    found = {n: anchor_warning(made, Snapshot.from_frames(n, {"tx": spark.read.parquet(str(tmp_path / n))})) for n in ("sorted", "mixed")}
+    assert found["sorted"] is None and "not clustered by block_id" in found["mixed"]
+
+
+def test_options_of_a_file():
+    assert read_settings(["user = me", "# no", "", "password=a=b"]) == {"user": "me", "password": "a=b"}
