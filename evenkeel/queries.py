@@ -6,6 +6,7 @@ shifted, and each query makes its own edits. Sums of digest parts are given as t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.canonical import digest_part, row_digest, set_hash_columns, set_hash_sums
 from evenkeel.operators.bounds import boundary_ids, common_cutoff, edges, exact_bound, spine_ranges, tip
-from evenkeel.operators.compare import Options, compare, judged, status_counts
+from evenkeel.operators.compare import Comparison, Options, compare, judged, status_counts
 from evenkeel.operators.localize import Difference, aligned, localize_bisect, localize_buckets
 from evenkeel.operators.setsum import set_hash
-from evenkeel.operators.verify import compare_keys, duplicated_keys, key_text, multiset_difference, orphan_counts, row_difference, subset_verdict
+from evenkeel.operators.verify import EXAMPLES, compare_keys, duplicated_keys, key_text, multiset_difference, orphan_counts, row_difference, verify_accumulator
 from evenkeel.plans.planner import TablePlan, hashed_rows, plan_table
 from evenkeel.plans.star import SHIFT, shifted, star_registry, star_side
 from evenkeel.sources.snapshot import Snapshot
@@ -266,19 +267,6 @@ def _tips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x.block, y.block, x.epoch, y.epoch, cut.block, cut.epoch)], "block1 long, block2 long, epoch1 long, epoch2 long, cutoff_block long, cutoff_epoch long")
 
 
-def _ranges(window: tuple[int, int] | None) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        a, b = _two_sides(spark, sf_dir)
-        rows = [(name, *spine_ranges(side, REGISTRY, 500, window)["orders"]) for name, side in (("a", a), ("b", b))]
-        return spark.createDataFrame(rows, "side string, low long, high long")
-
-    return run
-
-
-_query("spine_window_cutoff", f"select 'a' as side, 0 as low, max(o_orderkey) as high from orders where o_orderkey <= 500 union all select 'b', 0, max(o_orderkey) + {SHIFT} from orders where o_orderkey <= 500")(_ranges(None))
-_query("spine_window_block_range", f"select 'a' as side, min(o_orderkey) as low, max(o_orderkey) as high from orders where o_orderkey between 100 and 300 union all select 'b', min(o_orderkey) + {SHIFT}, max(o_orderkey) + {SHIFT} from orders where o_orderkey between 100 and 300")(_ranges((100, 300)))
-
-
 def _tip_ranges(window: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         a, b = _two_sides(spark, sf_dir)
@@ -289,7 +277,6 @@ def _tip_ranges(window: bool) -> Query:
     return run
 
 
-# the same over the whole history: up to nine tenths of the tip, not a fixed order number
 _query("spine_window_cutoff_tip", f"select 'a' as side, 0::bigint as low, max(o_orderkey) as high from orders where o_orderkey <= {_TIP} union all select 'b', 0, max(o_orderkey) + {SHIFT} from orders where o_orderkey <= {_TIP}")(_tip_ranges(False))
 _query("spine_window_block_range_tip", f"select 'a' as side, min(o_orderkey) as low, max(o_orderkey) as high from orders where o_orderkey between {_TIP} // 9 and {_TIP} union all select 'b', min(o_orderkey) + {SHIFT}, max(o_orderkey) + {SHIFT} from orders where o_orderkey between {_TIP} // 9 and {_TIP}")(_tip_ranges(True))
 
@@ -301,13 +288,6 @@ def _epoch_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_text(set_hash(hashed_rows(_plan(a, a, "events"), a, REGISTRY, F.col("day") <= cut.epoch)))
 
 
-@_query("exact_bounding", _hash_sql(_HASHED["lineitem"], "t.l_orderkey <= 500"))
-def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = star_side(spark, sf_dir)
-    plan = _plan(a, a, "lineitem")
-    return _as_text(set_hash(hashed_rows(plan, exact_bound(a, REGISTRY, plan, 500), REGISTRY)))
-
-
 @_query("exact_bounding_tip", _hash_sql(_HASHED["lineitem"], f"t.l_orderkey <= {_TIP}"))
 def _exact_tip(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = star_side(spark, sf_dir)
@@ -315,25 +295,6 @@ def _exact_tip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_text(set_hash(hashed_rows(plan, exact_bound(a, REGISTRY, plan, _tip_gap(a)), REGISTRY)))
 
 
-_EDGES = "(select unnest(range(0, 1001, 62)) as edge union select 1000)"
-
-
-@_query("boundary_ids", f"select edge::bigint as edge, min(o_orderkey) as first_id from {_EDGES} e left join orders on o_orderkey >= edge group by edge")
-def _boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = star_side(spark, sf_dir)
-    at = edges(1000, 16)
-    return spark.createDataFrame(list(zip(at, boundary_ids(a, REGISTRY, "orders", at), strict=True)), "edge long, first_id long")
-
-
-@_query("align_boundaries", f"with f as (select edge, min(o_orderkey) as x, min(case when o_orderkey % 200 >= 100 then o_orderkey end) + {SHIFT} as y from {_EDGES} e join orders on o_orderkey >= edge group by edge) select min(edge)::bigint as edge, y from f where y is not null group by y")
-def _align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = star_side(spark, sf_dir)
-    b = shifted(a, {"orders": lambda t: t.where(F.col("o_block") % 200 >= 100)})
-    at = edges(1000, 16)
-    kept, _, second = aligned(at, *(boundary_ids(s, REGISTRY, "orders", at) for s in (a, b)))
-    return spark.createDataFrame(list(zip(kept, second, strict=True)), "edge long, y long")
-
-
 _TIP_EDGES = f"(select unnest(range(0, cut + 1, greatest(1, cut // 16))) as edge from (select {_TIP} as cut) union select {_TIP})"
 
 
@@ -463,11 +424,11 @@ _verified("verify_neither", lambda t: t.withColumn("c_name", F.when(_number() %
 _verified("verify_duplicates", lambda t: t.unionByName(t.where(_number() % 9 == 0)), "select * from customer union all select * from customer where c_custkey % 9 = 0")
 
 
-@_query("multiset_diff", f"with x as (select r_name, n_name from nation join region on n_regionkey = r_regionkey), y as (select r_name, n_name from x where n_name not like 'A%' union all select r_name, n_name from x where n_name like 'C%') select *, 1 as side from (select * from x except all select * from y) union all select *, 2 as side from (select * from y except all select * from x)")
+@_query("multiset_diff", f"with x as (select r_name, n_name from nation join region on n_regionkey = r_regionkey), y as (select r_name, n_name from x where n_name not like '%7' union all select r_name, n_name from x where n_name like '%3') select *, 1 as side from (select * from x except all select * from y) union all select *, 2 as side from (select * from y except all select * from x)")
 def _multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = star_side(spark, sf_dir)
     x = a["nation"].join(a["region"], F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name")
-    return multiset_difference(x, x.where(~F.col("n_name").like("A%")).unionByName(x.where(F.col("n_name").like("C%"))))
+    return multiset_difference(x, x.where(~F.col("n_name").like("%7")).unionByName(x.where(F.col("n_name").like("%3"))))
 
 
 @_query("row_difference", f"select h as digest, sum(c)::bigint as surplus from (select h, 1 as c from (select {_digest(_HASHED['lineitem'][0])} as h from {_HASHED['lineitem'][1]}) union all select h, -1 from (select {_digest(_HASHED['lineitem'][0])} as h from {_HASHED['lineitem'][1].replace('lineitem t', f'({_FAULTS["value"][1]}) t')})) group by h having sum(c) <> 0")
@@ -493,22 +454,35 @@ def _orphan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- whole runs ------------------------------------------------------------------------
 
-_RUN = {  # table: (rows of A, rows of B, kind) under the edits of _whole_run, status
-    "region": ("select count(*) from region", "select count(*) from region", "accumulator", "MATCH"),
-    "nation": ("select count(*) from nation", "select count(*) from nation", "accumulator", "MATCH"),
-    "customer": ("select count(*) from customer", "select count(*) from customer where c_custkey % 9 <> 0", "accumulator", "COUNT_DIFF"),
-    "supplier": ("select count(*) from supplier", "select 0", "accumulator", "COUNT_DIFF"),
-    "part": ("select count(*) from part", "select count(*) from part", "accumulator", "HASH_DIFF"),
-    # customers that B lost leave their orders without a name
-    "orders": (f"select count(*) from orders where o_orderkey <= {_TIP}", f"select count(*) from orders where o_orderkey <= {_TIP}", "normal", "HASH_DIFF"),
-    "lineitem": (f"select count(*) from lineitem where l_orderkey <= {_TIP}", f"select count(*) from lineitem where l_orderkey <= {_TIP}", "giant", "HASH_DIFF"),
-    "events": (f"select count(*) from {_HASHED['events'][1]} where day <= (select {_DAY} - 2 from events)", f"select count(*) from {_HASHED['events'][1]} where event_id % 501 <> 0 and day <= (select {_DAY} - 2 from events)", "normal", "COUNT_DIFF"),
+#: What _whole_run does to the tables of B, as SQL.
+_RUN_EDITS = {
+    "customer": "select * from customer where c_custkey % 9 <> 0",
+    "supplier": "select * from supplier where false",
+    "part": "select * replace (case when p_partkey = 1 then p_size + 1 else p_size end as p_size) from part",
+    "orders": f"select * from orders where o_orderkey <= {_TIP}",
+    "lineitem": "select * replace (case when l_orderkey % 7 = 0 then l_quantity + 1 else l_quantity end as l_quantity) from lineitem",
+    "events": "select * from events where event_id % 501 <> 0",
 }
+_RUN_KINDS = {"region": "accumulator", "nation": "accumulator", "customer": "accumulator", "supplier": "accumulator", "part": "accumulator", "orders": "normal", "lineitem": "giant", "events": "normal"}
+_RUN_BOUNDS = {"orders": f"t.o_orderkey <= {_TIP}", "lineitem": f"t.l_orderkey <= {_TIP}", "events": f"t.day <= (select {_DAY} - 2 from events)"}
 
 
-def _whole_run(spark: SparkSession, sf_dir: str):
+def _run_sql(bounds: dict[str, str]) -> str:
+    """(table_name, kind, status, n1, n2) of a run over both sides, from their hashes."""
+    rows = []
+    for table, kind in _RUN_KINDS.items():
+        exprs, tables = _GIANT_LINEITEM if kind == "giant" else _HASHED[table]
+        other = re.sub(rf"\b({'|'.join(_RUN_EDITS)})\b(?=[ )])", lambda m: f"({_RUN_EDITS[m[0]]})", tables)
+        one, two = (_hash_sql((exprs, t), bounds.get(table, "true")) for t in (tables, other))
+        rows.append(
+            f"select '{table}' as table_name, '{kind}' as kind, case when x.n <> y.n then 'COUNT_DIFF' when x.s1 <> y.s1 or x.s2 <> y.s2 then 'HASH_DIFF' else 'MATCH' end as status, x.n as n1, y.n as n2 from ({one}) x, ({two}) y"
+        )
+    return " union all ".join(rows)
+
+
+def _run_sides(spark: SparkSession, sf_dir: str) -> tuple[Snapshot, Snapshot]:
     a = star_side(spark, sf_dir)
-    b = shifted(
+    return a, shifted(
         a,
         {
             "customer": lambda t: t.where(_number() % 9 != 0),
@@ -519,18 +493,43 @@ def _whole_run(spark: SparkSession, sf_dir: str):
             "events": lambda t: t.where((F.col("event_id") - SHIFT) % 501 != 0),
         },
     )
-    return compare(a, b, REGISTRY, Options(localize=None))
 
 
-@_query("compare_all", " union all ".join(f"select '{t}' as table_name, '{kind}' as kind, '{status}' as status, ({n1})::bigint as n1, ({n2})::bigint as n2" for t, (n1, n2, kind, status) in _RUN.items()))
-def _compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(r.name, r.kind, r.status, r.hash1.n, r.hash2.n) for r in _whole_run(spark, sf_dir).results]
+def _verdicts(spark: SparkSession, run: Comparison) -> DataFrame:
+    rows = [(r.name, r.kind, r.status, r.hash1.n, r.hash2.n) for r in run.results]
     return spark.createDataFrame(rows, "table_name string, kind string, status string, n1 long, n2 long")
 
 
-@_query("summary_counts", "select 'match' as outcome, 2::bigint as tables union all select 'discrepancies', 4 union all select 'accumulator_deltas', 2 union all select 'errors', 0 union all select 'skipped', 0")
+@_query("compare_all", _run_sql(_RUN_BOUNDS))
+def _compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdicts(spark, compare(*_run_sides(spark, sf_dir), REGISTRY, Options(localize=None)))
+
+
+_WINDOW = {"orders": f"t.o_orderkey between {_TIP} // 3 and {_TIP} // 2", "lineitem": f"t.l_orderkey between {_TIP} // 3 and {_TIP} // 2"}
+
+
+@_query("compare_window", f"select table_name, kind, case when table_name in ('orders', 'lineitem') then status else 'SKIPPED' end as status, case when table_name in ('orders', 'lineitem') then n1 else 0 end as n1, case when table_name in ('orders', 'lineitem') then n2 else 0 end as n2 from ({_run_sql(_WINDOW)})")
+def _compare_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _run_sides(spark, sf_dir)
+    cut = _tip_gap(a)
+    return _verdicts(spark, compare(a, b, REGISTRY, Options(window=(cut // 3, cut // 2))))
+
+
+@_query("compare_localized", f"select 'lineitem' as table_name, * from ({_windows_sql('value', _BUCKETS)})")
+def _compare_localized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _two_sides(spark, sf_dir, {"lineitem": _more_quantity()})
+    run = compare(a, b, REGISTRY, Options(full=True, localize="buckets", buckets=64, tables=("nation", "orders", "lineitem")))
+    rows = [(r.name, d.low, d.high, d.n1, d.n2, "content differs" if d.n1 == d.n2 else "row count differs") for r in run.results for d in r.localized]
+    return spark.createDataFrame(rows, "table_name string, low long, high long, n1 long, n2 long, what string")
+
+
+_OUTCOMES = "case when status = 'MATCH' then 'match' when status = 'COUNT_DIFF' and kind = 'accumulator' then 'accumulator_deltas' else 'discrepancies' end"
+
+
+@_query("summary_counts", f"with r as ({_run_sql(_RUN_BOUNDS)}) select o.outcome, count(r.table_name)::bigint as tables from (values ('match'), ('discrepancies'), ('accumulator_deltas'), ('errors'), ('skipped')) o(outcome) left join r on {_OUTCOMES} = o.outcome group by 1")
 def _summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(status_counts(_whole_run(spark, sf_dir).results).items()), "outcome string, tables long")
+    run = compare(*_run_sides(spark, sf_dir), REGISTRY, Options(localize=None))
+    return spark.createDataFrame(list(status_counts(run.results).items()), "outcome string, tables long")
 
 
 @_query("verdict_ladder", "select * from (values (1, 'COUNT_DIFF'), (2, 'COUNT_DIFF'), (3, 'HASH_DIFF'), (4, 'HASH_DIFF'), (5, 'VALUE_DIFF'), (6, 'MATCH'), (7, 'MATCH'), (8, 'COUNT_DIFF')) v(scenario, status)")
@@ -550,10 +549,39 @@ def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_text(found).withColumn("window_start", F.unix_micros("window_start"))
 
 
-@_query("key_verdicts", None)
-def _verdict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(x, y, subset_verdict(x, y)) for x in (0, 3) for y in (0, 2)]
-    return spark.createDataFrame(rows, "only_db1 int, only_db2 int, verdict string")
+def _key_sides(spark: SparkSession, sf_dir: str) -> tuple[Snapshot, Snapshot]:
+    """Customers: A lacks every seventh, B every ninth, and B has every thirteenth twice."""
+    a, b = _two_sides(spark, sf_dir, {"customer": lambda t: t.where(_number() % 9 != 0).unionByName(t.where(_number() % 13 == 0))})
+    return Snapshot(a.label, a.tables | {"customer": a["customer"].where(F.col("c_custkey") % 7 != 0)}), b
+
+
+_KEYS = (
+    "x as (select c_name as k, count(*) as c from customer where c_custkey % 7 <> 0 group by 1), "
+    "y as (select c_name as k, count(*) as c from (select * from customer where c_custkey % 9 <> 0 union all select * from customer where c_custkey % 13 = 0) group by 1), "
+    "z as (select k, coalesce(x.c, 0) as cx, coalesce(y.c, 0) as cy from x full join y using (k))"
+)
+
+
+@_query(
+    "verify_accumulator",
+    f"with {_KEYS}, e as (select k, greatest(cx - cy, 0) as o1, greatest(cy - cx, 0) as o2, least(cx, cy) as b from z), t as (select sum(o1)::bigint as only_db1, sum(o2)::bigint as only_db2, sum(b)::bigint as \"both\" from e) "
+    "select *, case when only_db1 = 0 and only_db2 = 0 then 'identical' when only_db2 = 0 then 'db2 ⊆ db1' when only_db1 = 0 then 'db1 ⊆ db2' else 'NEITHER' end as verdict from t",
+)
+def _verified_accumulator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = verify_accumulator(*_key_sides(spark, sf_dir), REGISTRY, "customer")
+    head = next(x for x in ("identical", "db2 ⊆ db1", "db1 ⊆ db2", "NEITHER") if found["verdict"].startswith(x))
+    return spark.createDataFrame([(found["only_db1"], found["only_db2"], found["both"], head)], "only_db1 long, only_db2 long, both long, verdict string")
+
+
+@_query(
+    "key_examples",
+    f"with {_KEYS}, s as (select 1 as side, k, unnest(range(cx - cy)) as again from z where cx > cy union all select 2, k, unnest(range(cy - cx)) from z where cy > cx), "
+    f"p as (select side, k, row_number() over (partition by side order by k) as place from s) select * from p where place <= {EXAMPLES}",
+)
+def _key_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = verify_accumulator(*_key_sides(spark, sf_dir), REGISTRY, "customer")
+    rows = [(side, k, place) for side in (1, 2) for place, k in enumerate(found[f"examples_db{side}"], 1)]
+    return spark.createDataFrame(rows, "side int, k string, place long")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
