@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from evenkeel.functions.canonical import row_digest
 from evenkeel.plans.registry import Anchor, Registry
-from evenkeel.sources.snapshot import Snapshot
+from evenkeel.sources.snapshot import Snapshot, spread
 
 #: How far foreign keys are followed where a table is not a giant.
 FULL_DEPTH = 8
@@ -178,6 +178,7 @@ def hashed_rows(
     needed = {c for alias, c in read if alias == BASE}
     value = named(plan.value_column) if plan.value_column else F.lit(None)
     rows = base.select(*(named(c).alias(f"{BASE}.{c}") for c in sorted(needed)), value.cast("decimal(38,6)").alias("value"), *(c.alias(k) for k, c in extra.items()))
+    rows = spread(rows)
     kinds = {(BASE, f.name): f.dataType for f in side[plan.name].schema.fields}
     for join in joins:
         target = side[join.target]

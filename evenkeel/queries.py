@@ -20,7 +20,7 @@ from evenkeel.operators.setsum import set_hash
 from evenkeel.operators.verify import EXAMPLES, compare_keys, duplicated_keys, key_text, multiset_difference, orphan_counts, row_difference, verify_accumulator
 from evenkeel.plans.planner import TablePlan, hashed_rows, plan_table
 from evenkeel.plans.star import SHIFT, shifted, star_registry, star_side
-from evenkeel.sources.snapshot import Snapshot
+from evenkeel.sources.snapshot import Snapshot, spread
 from evenkeel.streaming.windows import windowed_set_hash
 
 REGISTRY = star_registry()
@@ -115,7 +115,7 @@ def _plan(a: Snapshot, b: Snapshot, table: str, *, full: bool = True, depth: int
 
 
 def _all_columns(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     return rows.withColumn("digest", row_digest([(F.col(c), kinds[c]) for c in sorted(rows.columns)], [REGISTRY.scales.get(c) for c in sorted(rows.columns)])).withColumn("value", F.lit(None).cast("decimal(38,6)"))
 

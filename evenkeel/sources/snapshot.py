@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -93,6 +94,24 @@ class Snapshot:
         return cls(jdbc_label(url), {n: opened(n) for n in names}, dict(facts if facts is not None else jdbc_facts(spark, url, names, options)))
 
 
+#: Bytes below which a table is not worth dealing out.
+SMALL = 4 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt out to all cores if they are read in fewer parts.
+
+    A large row group is read by one task whatever the number of cores; what is computed
+    for its rows afterwards need not be. Tables with as many parts as cores stay as they
+    are, and so do those that are more than a scan, whose parts only running them would tell.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    plan = rows._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < SMALL or re.search("Exchange|Adaptive", plan.executedPlan().toString()):
+        return rows
+    return rows.repartition(cores) if plan.toRdd().getNumPartitions() < cores else rows
+
+
 def jdbc_facts(spark: SparkSession, url: str, names: list[str], options: Mapping[str, str]) -> dict[str, TableFacts]:
     """Primary keys, generated columns and declared foreign keys, from the database's own catalog."""
     jvm = spark.sparkContext._jvm
