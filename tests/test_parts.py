@@ -19,7 +19,7 @@ from evenkeel.operators.verify import anchor_warning, compare_keys, subset_verdi
 from evenkeel.plans.chain import chain_registry
 from evenkeel.plans.planner import explain, hashed_rows, plan_table
 from evenkeel.queries import oracle_sql, queries
-from evenkeel.sources.snapshot import Snapshot, TableFacts, jdbc_label, secret_free_label
+from evenkeel.sources.snapshot import Snapshot, TableFacts, jdbc_label, secret_free_label, spread
 from evenkeel.streaming.windows import windowed_set_hash
 
 REGISTRY = chain_registry()
@@ -271,5 +271,17 @@ def test_files_that_a_bound_cannot_skip_are_warned_of(spark, tmp_path):
     assert found["sorted"] is None and "not clustered by block_id" in found["mixed"]
 
 
+def test_rows_of_one_large_row_group_are_dealt_out(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(700_000).selectExpr("id", "xxhash64(id) as h").coalesce(1).write.parquet(str(tmp_path / "large"))
+    spark.range(50).coalesce(1).write.parquet(str(tmp_path / "small"))
+    large, small = (spark.read.parquet(str(tmp_path / n)) for n in ("large", "small"))
+    assert spread(large).rdd.getNumPartitions() == cores and spread(large).count() == 700_000
+    assert spread(small).rdd.getNumPartitions() == small.rdd.getNumPartitions()
+    # what only running it would tell is left as it is
+    joined = large.groupBy("h").count()
+    assert spread(joined) is joined
+
+
 def test_options_of_a_file():
     assert read_settings(["user = me", "# no", "", "password=a=b"]) == {"user": "me", "password": "a=b"}
