@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +33,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: its lineage ends here."""
+def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: its lineage ends here. ``path``: where, if not at a new one."""
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = path or scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -59,6 +62,33 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+#: Bytes that Python workers get at a time.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session hands rows to Python workers in batches of ``BATCH_BYTES`` at most from now on.
+
+    Spark's own limit makes each of them, and the JVM for each, hold ten times as much of the texts.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", conf.get(name))) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker, which lives on for other tasks, gives the memory that it freed back to the system."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def shuffles_removed(spark: SparkSession) -> contextlib.AbstractContextManager:
     """While it lasts, a job's shuffle files go when it ends; jobs that write tables need them no more."""
     return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
@@ -124,6 +154,15 @@ def segments(data: bytes, size: int = SEGMENT, overlap: int = 0):
         yield data[i : i + size + overlap]
 
 
+def portions(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Slices of whole texts with about ``size`` bytes each."""
+    upto, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
 _SPACE = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import byte_ngrams, crc_mod, hashed_share, segments, text_or_empty
+from evenkeel.llm.common import byte_ngrams, crc_mod, frugal, hashed_share, in_small_batches, segments, text_or_empty
 
 SIZES = (1, 2, 3)
 BITS = 12
@@ -140,7 +140,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", te
 
     wide = docs.select(id_col, text_or_empty(text_col).alias("_predicted_text"))
     schema = wide.select(id_col, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected")).schema
-    return wide.mapInArrow(run, schema)
+    return in_small_batches(wide).mapInArrow(frugal(run), schema)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

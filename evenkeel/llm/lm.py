@@ -55,7 +55,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import crc_mod, mix64, pieces, removed, scratch, shuffles_removed, text_or_empty
+from evenkeel.llm.common import crc_mod, frugal, in_small_batches, mix64, pieces, removed, scratch, shuffles_removed, text_or_empty
 
 #: Bytes of text of a block, and of what a hash range counts.
 BLOCK = RANGE = 6 << 20
@@ -399,14 +399,14 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
     path = scratch(spark, "lm-blocks")
     asked = path + "-answers"
     with shuffles_removed(spark):
-        wide.mapInArrow(_blocks(parts, to_arrow_schema(schema)), schema).write.partitionBy("kind").option("compression", "uncompressed").parquet(path)
+        in_small_batches(wide).mapInArrow(frugal(_blocks(parts, to_arrow_schema(schema))), schema).write.partitionBy("kind").option("compression", "uncompressed").parquet(path)
         stored = spark.read.schema(schema).parquet(path)
         of = lambda kind: stored.where(F.col("kind") == kind).select("target", "block", "data", "counts").groupBy("target")
         of("words").applyInArrow(_word_totals, _ANSWERS).write.parquet(asked)
+        # what is answered is needed no more
+        removed(spark, f"{path}/kind=words")
         of("grams").applyInArrow(_gram_totals("pairs"), _ANSWERS).write.mode("append").parquet(asked)
-        # both are answered: what they asked is needed no more
         removed(spark, f"{path}/kind=grams")
-        removed(spark, f"{path}/kind=words")
         texts = spark.read.schema(schema).parquet(path).where("kind = 'texts'").drop("kind", "target").groupBy("block")
         read = lambda: spark.read.schema(_ANSWERS).parquet(asked).where("kind <> 'sums'").drop("n", "v").groupBy("block")
         triples = texts.cogroup(read()).applyInArrow(_ask_triples(parts), _ASKED)

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import mix64, saved, scratch, text_or_empty
+from evenkeel.llm.common import frugal, in_small_batches, mix64, portions, saved, scratch, text_or_empty
 
 #: Words whose ids a worker remembers.
 REMEMBERED = 600_000
@@ -249,15 +249,11 @@ def write_store(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
 
         def fill(out):
             for batch in batches:
-                texts, sizes = batch.column(1), []
-                upto = np.cumsum(pc.binary_length(texts).to_numpy())
-                at = 0
-                while at < len(texts):
-                    end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + HELD_BYTES, side="right")))
-                    ids, n = mine.encode(texts.slice(at, end - at))
+                sizes = []
+                for texts in portions(batch.column(1), HELD_BYTES):
+                    ids, n = mine.encode(texts)
                     out.write(ids.tobytes())
                     sizes.append(n)
-                    at = end
                 sizes = np.concatenate([*sizes, np.zeros(0, np.int64)])
                 first = len(starts) - 1
                 starts.extend((starts[-1] + np.cumsum(sizes)).tolist())
@@ -270,7 +266,7 @@ def write_store(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
 
     ordered = wide.repartitionByRange(shards, "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
     schema = wide.select("key", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("ordinal"), F.lit(0).cast("long").alias("n_tokens")).schema
-    ordered.mapInArrow(run, schema).write.parquet(f"{path}/entries")
+    in_small_batches(ordered).mapInArrow(frugal(run), schema).write.parquet(f"{path}/entries")
     entries = spark.read.schema(schema).parquet(f"{path}/entries")
     # one row for each shard
     totals = {r["shard"]: (r["n"], r["ids"]) for r in entries.groupBy("shard").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("ids")).collect()}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import byte_ngrams, crc_mod, hashed_share, segments, text_or_empty
+from evenkeel.llm.common import byte_ngrams, crc_mod, frugal, hashed_share, in_small_batches, segments, text_or_empty
 
 SIZES = (3, 4, 5, 6)
 BITS = 18
@@ -124,17 +124,23 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     known = labels.where(usable) if usable is not None else labels
     known = known.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    parts = [known.where((F.col("toxic") == c) & hashed_share(counts.get(c, 0), sample_rows, "id")).limit(2 * sample_rows) for c in (0, 1)]
+    # ids are distinct here, so the share is about sample_rows, and the limit only bounds what is broadcast
+    parts = [known.where((F.col("toxic") == c) & hashed_share(counts.get(c, 0), sample_rows, "id")).orderBy(F.xxhash64("id"), "id").limit(2 * sample_rows) for c in (0, 1)]
     sample = F.broadcast(parts[0].unionByName(parts[1]))
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(sample, "id").select("text", "toxic")
-    got = texts.mapInArrow(_with_features, "toxic int, features binary").limit(4 * sample_rows).collect()
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(sample, "id")
+    # an id that several texts have is learned by one of them, whichever way they are dealt out
+    once = texts.groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    got = once.select(F.col("first.text").alias("text"), "toxic").mapInArrow(_with_features, "toxic int, features binary").collect()
     got.sort(key=lambda r: (r["toxic"], bytes(r["features"])))
     return fit(PackedSets([bytes(r["features"]) for r in got]), np.array([r["toxic"] for r in got]))
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row for each row of ``docs``: the columns in ``keep`` (the id if not given), ``score``, ``predicted``."""
-    keep = [id_col] if keep is None else keep
+    """One row for each row of ``docs``: the columns in ``keep`` (the id if not given), ``score``, ``predicted``.
+
+    Kept columns of these two names give way.
+    """
+    keep = [c for c in ([id_col] if keep is None else keep) if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +152,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
 
     wide = docs.select(text_or_empty(text_col).alias("_scored_text"), *keep)
     schema = wide.select(*keep, F.lit(0.0).alias("score"), F.lit(0).cast("int").alias("predicted")).schema
-    return wide.mapInArrow(run, schema)
+    return in_small_batches(wide).mapInArrow(frugal(run), schema)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
