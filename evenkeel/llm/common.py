@@ -71,9 +71,9 @@ def in_small_batches(df: DataFrame) -> DataFrame:
 
     Spark's own limit makes each of them, and the JVM for each, hold ten times as much of the texts.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", conf.get(name))) > BATCH_BYTES:
-        conf.set(name, str(BATCH_BYTES))
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
     return df
 
 
