@@ -11,11 +11,11 @@ Finding the links takes three steps.
    Keys that only one fingerprint has are dropped by their counts. A key with more than
    ``BUCKET`` fingerprints is dealt out over all pairs of its parts, so that no task
    gets all of it.
-2. *Pivot distance tables.* In a bucket, the Hamming distances of every member to
-   reference fingerprints are tabled. Members are sorted by the first of them; a pair
-   is dropped if any coordinate differs by more than the radius (distances to a common
-   point cannot differ by more than the distance of the pair). Survivors are verified
-   bit by bit. Members that are already connected are not compared again, so a dense
+2. *Pivot distance tables.* The Hamming distances of every distinct fingerprint to
+   reference fingerprints are tabled once and go with it. In a bucket, members are sorted
+   by the first of them; a pair is dropped if any coordinate differs by more than the
+   radius (distances to a common point cannot differ by more than the distance of the
+   pair). Survivors are verified bit by bit. Members that are already connected are not compared again, so a dense
    group costs about one comparison for each member.
 3. *Components.* A bucket gives a star of links for each of its components, never all
    pairs. Alternating large-star and small-star rounds on the links, each written to
@@ -43,7 +43,6 @@ result. Only the named columns are read; ``one_of_each_group`` keeps all columns
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import math
 from collections.abc import Iterator
@@ -51,10 +50,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import hashed_share, mix64, pieces, saved, text_or_empty
+from evenkeel.llm.common import frugal, hashed_share, in_small_batches, mix64, pieces, removed, saved, scratch, setting, shuffles_removed, text_or_empty
 
 RADIUS = 3
 SHINGLE = 3
@@ -164,7 +163,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], [batch.schema.names[0], "fp"])
 
     wide = docs.select(id_col, text_or_empty(text_col).alias("_hashed_text"))
-    return wide.mapInArrow(run, wide.select(id_col, F.lit(0).cast("long").alias("fp")).schema)
+    return in_small_batches(wide).mapInArrow(frugal(run), wide.select(id_col, F.lit(0).cast("long").alias("fp")).schema)
 
 
 class Forest:
@@ -189,14 +188,25 @@ class Forest:
                 self.labels = further
 
 
-def connected(fps: np.ndarray, radius: int) -> np.ndarray:
-    """For each row of unsigned 64-bit lanes, the first row of its component at ``radius``."""
-    n, lanes = fps.shape
+def pivot_distances(fps: np.ndarray) -> np.ndarray:
+    """The row of the pivot distance table for each row of unsigned 64-bit lanes."""
+    lanes = fps.shape[1]
+    pivots = mix64(np.arange(PIVOTS * lanes, dtype=np.uint64)).reshape(PIVOTS, lanes)
+    return np.stack([np.bitwise_count(fps ^ p).sum(axis=1, dtype=np.int16) for p in pivots], axis=1)
+
+
+def tabled(fps: np.ndarray) -> pa.Array:
+    """Each fingerprint's bytes, and after them its distances to the pivots."""
+    rows = np.concatenate([fps.view(np.uint8), pivot_distances(fps).view(np.uint8)], axis=1)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def connected(fps: np.ndarray, table: np.ndarray, radius: int) -> np.ndarray:
+    """For each row of unsigned 64-bit lanes, the first row of its component at ``radius``; ``table``: their ``pivot_distances``."""
+    n = len(fps)
     forest = Forest(n)
     if n < 2:
         return forest.labels
-    pivots = mix64(np.arange(PIVOTS * lanes, dtype=np.uint64)).reshape(PIVOTS, lanes)
-    table = np.stack([np.bitwise_count(fps ^ p).sum(axis=1, dtype=np.int16) for p in pivots], axis=1)
     order = np.argsort(table[:, 0], kind="stable")
     fps, table = fps[order], np.ascontiguousarray(table[order])
     upto = np.searchsorted(table[:, 0], table[:, 0] + radius, side="right")
@@ -252,7 +262,12 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def _near_bits(radius: int, lanes: int):
-    return lambda bits: connected(np.frombuffer(b"".join(bits), "<u8").reshape(-1, lanes), radius)
+    def labelled(bits: list[bytes]) -> np.ndarray:
+        rows = np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1)
+        fps, table = (np.ascontiguousarray(x) for x in (rows[:, : 8 * lanes], rows[:, 8 * lanes :]))
+        return connected(fps.view("<u8"), table.view("<i2"), radius)
+
+    return labelled
 
 
 def _near_sets(similarity: float):
@@ -301,23 +316,23 @@ def _stars(labelled):
     return run
 
 
-def once_each(keyed: DataFrame) -> DataFrame:
-    """Of keys that several nodes have, one for each set of nodes."""
+def once_each(keyed: DataFrame, path: str) -> DataFrame:
+    """Of keys that several nodes have, one for each set of nodes; written below ``path``."""
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    common = saved(keyed.join(shared, "key").select("node", "key"), "postings")
+    common = saved(keyed.join(shared, "key").select("node", "key"), "postings", f"{path}/postings")
     members = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("again"), "node")).alias("y")]
     chosen = common.groupBy("key").agg(F.count("*").alias("n"), *members).groupBy("n", "x", "y").agg(F.min("key").alias("key"))
-    return saved(common.join(chosen.select("key"), "key").select("node", "key"), "buckets")
+    return saved(common.join(chosen.select("key"), "key").select("node", "key"), "buckets", f"{path}/buckets")
 
 
-def links(nodes: DataFrame, keys, radius: int, lanes: int, *, thin: bool = False) -> DataFrame:
+def links(nodes: DataFrame, keys, radius: int, lanes: int, *, thin: str | None = None) -> DataFrame:
     """(a, b): links that connect what lies within ``radius`` and shares a key.
 
-    ``nodes`` has node (long) and bits (binary); ``keys`` is an array column of longs.
-    ``thin``: keys of the same nodes count once.
+    ``nodes`` has node (long) and bits (binary, see ``tabled``); ``keys`` is an array column of longs.
+    ``thin``: keys of the same nodes count once; a path that what is left is written below.
     """
     keyed = nodes.select("node", F.explode(keys).alias("key"))
-    return met_links(nodes, once_each(keyed) if thin else keyed, _near_bits(radius, lanes), BUCKET)
+    return met_links(nodes, once_each(keyed, thin) if thin else keyed, _near_bits(radius, lanes), BUCKET)
 
 
 def met_links(nodes: DataFrame, keyed: DataFrame, labelled, bucket: int) -> DataFrame:
@@ -333,12 +348,13 @@ def met_links(nodes: DataFrame, keyed: DataFrame, labelled, bucket: int) -> Data
         .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node")
     )
     spread = met.join(nodes, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return spread.select("key", "i", "j", "node", "bits").mapInArrow(_stars(labelled), "a long, b long").distinct()
+    return spread.select("key", "i", "j", "node", "bits").mapInArrow(frugal(_stars(labelled)), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): for every node of an edge, the smallest node that it is connected with."""
-    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    spark, path = edges.sparkSession, scratch(edges.sparkSession, "links")
+    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", path)
     before = None
     while True:
         # every pair (a, b) has a > b
@@ -351,7 +367,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = saved(small.where("a <> b").distinct(), "links")
+        last, path = path, scratch(spark, "links")
+        now = saved(small.where("a <> b").distinct(), "links", path)
+        # the next round reads only what this one has written
+        removed(spark, last)
 
 
 def _block_pairs(bits) -> F.Column:
@@ -364,17 +383,33 @@ def _block_pairs(bits) -> F.Column:
 
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component): each row's fingerprint and the smallest id that its links reach."""
+    with shuffles_removed(docs.sparkSession):
+        return _near_components(docs, id_col, text_col)
+
+
+def _near_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     prints = saved(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
+
+    def with_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy().view(np.uint64).reshape(-1, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), tabled(fps)], ["node", "bits"])
+
     # copies meet here, once for each task
-    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    bits = F.unhex(F.lpad(F.hex("fp"), 16, "0"))
-    edges = links(nodes.select(F.col("fp").alias("node"), bits.alias("bits")), _block_pairs(F.col("node")), RADIUS, 1)
+    nodes = saved(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
+    table = saved(nodes.select(F.col("fp").alias("node")).mapInArrow(with_distances, "node long, bits binary"), "pivot-distances")
+    edges = links(table, _block_pairs(F.col("node")), RADIUS, 1)
     roots = saved(components(edges), "components")
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     rooted = saved(rooted, "roots")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(id_col, "fp", "component_id")
+    classes = saved(rooted.join(smallest, "root").select("fp", "component_id", "n"), "classes")
+    # fingerprints of over a thousandth of the rows are fewer than a thousand: their many rows are not shuffled
+    total = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    common = F.col("n") * 1000 > total
+    often = prints.join(F.broadcast(classes.where(common).select("fp", "component_id")), "fp")
+    others = prints.join(F.broadcast(classes.where(common).select("fp")), "fp", "left_anti").join(classes.where(~common).select("fp", "component_id"), "fp")
+    return often.unionByName(others).select(id_col, "fp", "component_id")
 
 
 @functools.cache
@@ -413,21 +448,6 @@ def frequent_shingles(hashed: DataFrame) -> np.ndarray:
     return np.array([r["h"] for r in found.orderBy(F.desc("n"), "h").limit(HOT_MOST).collect()], np.int64).view(np.uint64)
 
 
-@contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """While it lasts, Python gets at most so many rows at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
-
-
 def only_named(prints: DataFrame, named: DataFrame) -> DataFrame:
     """Rows of ``prints`` (digest, bits), once each, with the digests of ``named`` and few others.
 
@@ -459,25 +479,33 @@ def near_groups(docs: DataFrame, *, text_col: str = "text", similarity: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in (batch.slice(k, HELD) for batch in batches for k in range(0, batch.num_rows, HELD)):
             sets = [shingle_set(x, NEAR_SHINGLE) for x in some.column(1).to_pylist()]
-            bits = pa.array([wide_bits(h, NEAR_LANES) for h in sets], pa.binary())
+            bits = tabled(np.frombuffer(b"".join(wide_bits(h, NEAR_LANES) for h in sets), "<u8").reshape(-1, NEAR_LANES))
             keys = pa.array([prefix(h, hot, similarity).view(np.int64) for h in sets], pa.list_(pa.int64()))
             # sets without any shingle are alike
             whole = pa.array([(h if len(h) else np.zeros(1, np.uint64)).tobytes() for h in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([some.column(0), bits, keys, whole], ["digest", "bits", "keys", "whole"])
 
-    prints = saved(hashed.mapInArrow(run, "digest string, bits binary, keys array<long>, whole binary"), "wide-fingerprints")
-    distinct = prints.groupBy("digest").agg(F.first("bits").alias("bits"), F.first("keys").alias("keys"))
-    # numbers that are written down once, and so stay
-    nodes = saved(distinct.withColumn("node", F.monotonically_increasing_id()), "texts")
-    edges = links(nodes, F.col("keys"), differing_bits(similarity, 64 * NEAR_LANES), NEAR_LANES, thin=True)
-    clusters = components(edges).select("node", F.col("root").alias("key"))
-    clusters = saved(clusters.join(nodes.select("node", "digest"), "node"), "clusters")
-    # rows with whole sets are large, so fewer of them go to Python at a time
-    with batches_of(docs.sparkSession, SET_ROWS):
-        sets = only_named(prints.select("digest", F.col("whole").alias("bits")), clusters)
-        members = saved(clusters.join(sets, "digest").select("node", "key", "bits"), "members")
-        edges = saved(met_links(members.select("node", "bits"), members.select("node", "key"), _near_sets(similarity), CLUSTER), "near-links")
-    roots = saved(components(edges), "components")
+    spark = docs.sparkSession
+    path = scratch(spark, "near-groups")
+    # a table is deleted, and a job's shuffle files are, once what is made of them is written
+    with shuffles_removed(spark):
+        prints = saved(in_small_batches(hashed).mapInArrow(frugal(run), "digest string, bits binary, keys array<long>, whole binary"), "prints", f"{path}/prints")
+        distinct = prints.groupBy("digest").agg(F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+        # numbers that are written down once, and so stay
+        nodes = saved(distinct.withColumn("node", F.monotonically_increasing_id()), "texts", f"{path}/texts")
+        edges = links(nodes, F.col("keys"), differing_bits(similarity, 64 * NEAR_LANES), NEAR_LANES, thin=path)
+        clusters = components(edges).select("node", F.col("root").alias("key"))
+        clusters = saved(clusters.join(nodes.select("node", "digest"), "node"), "clusters", f"{path}/clusters")
+        for done in ("postings", "buckets", "texts"):
+            removed(spark, f"{path}/{done}")
+        # rows with whole sets are large, so fewer of them go to Python at a time
+        with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(SET_ROWS)):
+            sets = only_named(prints.select("digest", F.col("whole").alias("bits")), clusters)
+            members = saved(clusters.join(sets, "digest").select("node", "key", "bits"), "members", f"{path}/members")
+            removed(spark, f"{path}/prints")
+            edges = saved(met_links(members.select("node", "bits"), members.select("node", "key"), _near_sets(similarity), CLUSTER), "near-links", f"{path}/near-links")
+            removed(spark, f"{path}/members")
+        roots = saved(components(edges), "components", f"{path}/components")
     names = clusters.select("node", "digest")
     return roots.join(names, "node").select("digest", "root").join(names.select(F.col("node").alias("root"), F.col("digest").alias("first")), "root").select("digest", F.col("first").alias("root"))
 
@@ -496,11 +524,11 @@ def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     texts = texts.join(groups, "digest", "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
     kept = texts.groupBy("root").agg(F.min(F.struct("first.id", "digest", "first.n")).alias("kept"))
     kept = saved(kept.select(F.col("kept.digest").alias("_kept_digest"), F.col("kept.id.id").alias("_kept_id"), (F.col("kept.n") > 1).alias("_kept_again")), "kept")
-    # dealt out by id too, so that the copies of a text don't meet in one task
-    marked = docs.withColumn("_digest", digest)
-    found = marked.join(kept, (F.col("_digest") == F.col("_kept_digest")) & F.col(id_col).eqNullSafe(F.col("_kept_id")))
+    # dealt out by id too, so that the copies of a text don't meet in one task; a row goes as one column, whose names clash with none
+    marked = docs.select(F.struct(*docs.columns).alias("row"), digest.alias("digest"), F.col(id_col).alias("id"))
+    found = marked.join(kept, (F.col("digest") == F.col("_kept_digest")) & F.col("id").eqNullSafe(F.col("_kept_id")))
     once, again = found.where(~F.col("_kept_again")), found.where("_kept_again").dropDuplicates(["_kept_digest"])
-    return once.unionByName(again).select(*docs.columns)
+    return once.unionByName(again).select("row.*")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
