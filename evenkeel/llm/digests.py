@@ -1,7 +1,7 @@
 """Document fingerprints: canonical exact digests.
 
-A text's canonical form is its NFKC normalisation in lower case, white space folded to
-single blanks and trimmed. Its fingerprint is a wide xxhash of that form, two 64-bit
+A text's canonical form is its NFKC normalisation with full case folding (so that "Straße"
+and "STRASSE" agree), normalised again, white space folded to single blanks and trimmed. Its fingerprint is a wide xxhash of that form, two 64-bit
 hashes of it as 32 hexadecimal digits. Texts meet by wide hash; inside a bucket that
 several texts share, the canonical forms themselves are compared, byte by byte. Should
 different forms ever share a hash, their fingerprints get ``-1``, ``-2``, ... by order
@@ -11,8 +11,8 @@ only looked up among the documents' and not compared with each other, so
 the likeness of two fingerprints is 1 if they are equal and 0 if not.
 
 ``edited_against_next`` puts documents in ascending order of their ids over all tasks:
-ranges of ids are dealt out by quantiles (an id that holds several quantiles is split
-by a hash of the text), each task sees its neighbours in a window, and where ranges
+ranges of ids are dealt out by quantiles, those of numbers over all rows, those of other
+ids over a sample of them (an id that holds several quantiles is split by a hash of the text), each task sees its neighbours in a window, and where ranges
 meet the few edge rows are joined.
 
 All of it is DataFrame operations; normalisation is a JVM call by ``reflect``.
@@ -30,6 +30,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.llm.common import saved, text_or_empty
 
@@ -37,10 +38,18 @@ from evenkeel.llm.common import saved, text_or_empty
 BROADCAST_HASHES = 1_000_000
 
 
+#: Ids that splits between buckets are drawn from where they are not numbers, and bytes of text of a bucket, about.
+SAMPLED_IDS, BUCKET_BYTES = 10_000, 64 << 20
+
+
 def canonical(column: str) -> Column:
-    """NFKC, lower case, white space folded. Not for use in conditions: Spark holds it for nondeterministic."""
-    normal = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.col(column), F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(normal), r"(?U)\s+", " "))
+    """NFKC, case and white space folded. Not for use in conditions: Spark holds it for nondeterministic."""
+    text = F.col(column)
+    composed = lambda c: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    folded = composed(F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed(text), F.lit(True)))
+    # of ASCII texts the same without the normaliser
+    form = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(folded)
+    return F.trim(F.regexp_replace(form, r"(?U)\s+", " "))
 
 
 def wide_hash(column: str) -> Column:
@@ -89,8 +98,12 @@ def likeness(a: str, b: str) -> Column:
 def _ranged(docs: DataFrame, buckets: int) -> DataFrame:
     """``docs`` (key, tie, ...) with ``bucket``, which rises with (key, tie)."""
     share = [k / buckets for k in range(1, buckets)]
-    splits = docs.agg(F.percentile_approx("key", share, 10_000).alias("s")).first()["s"] if share else None
-    splits = splits or []
+    if isinstance(docs.schema["key"].dataType, T.NumericType):
+        splits = (docs.agg(F.percentile_approx("key", share, 10_000).alias("s")).first()["s"] if share else None) or []
+    else:
+        drawn = docs.where(F.col("key").isNotNull()).select("key", "tie").orderBy(F.xxhash64("key", "tie"), "key").limit(SAMPLED_IDS)
+        found = sorted(r["key"] for r in drawn.collect())
+        splits = [found[int(x * len(found))] for x in share] if found else []
     if not splits:
         return docs.withColumn("bucket", F.lit(0))
     held: dict = {}
@@ -120,7 +133,9 @@ def edited_against_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     apart = told_apart(docs, text_col=text_col)
     apart = apart if apart.count() else None
     rows = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("tie"))
-    rows = _with_form(_ranged(rows, int(spark.conf.get("spark.sql.shuffle.partitions"))), "text", "form", "wide")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    rows = _with_form(_ranged(rows, buckets), "text", "form", "wide")
     rows = _named(rows, "form", "wide", apart, "fingerprint").select("key", "tie", "bucket", "text", "fingerprint")
     order = Window.partitionBy("bucket").orderBy(F.col("key").asc_nulls_first(), F.shiftrightunsigned("tie", 33), "tie", "text")
     placed = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fingerprint", F.lead("fingerprint").over(order)).withColumn("place", F.row_number().over(order))
