@@ -12,9 +12,11 @@ hash are one fingerprint, about two for every n - k + 2 words. Document fingerpr
 joined with benchmark fingerprints; a hit is extended to the windows it stands for,
 which are joined with the benchmark's windows by hash and then compared word by word.
 
-All of it is DataFrame operations. The documents are read once for each block of at most
-``BLOCK_WINDOWS`` benchmark windows, which is broadcast; a benchmark of any size is
-worked off in blocks. Only hits and one row for each text are shuffled.
+All of it is DataFrame operations. A benchmark of at most ``BLOCK_WINDOWS`` windows is
+broadcast, and the documents are read once; only hits and one row for each text are
+shuffled. A larger one is worked off in blocks of so many windows, for which only the texts
+are read again that share a fingerprint with the benchmark at all; which those are follows
+from one pass whose fingerprints are joined with the benchmark's by shuffle.
 
 Defined cases: a null text has no words and hits nothing; texts of any length are read
 whole; rows that repeat (same id, same text) each get a row; items that repeat count by
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from evenkeel.llm.common import ascii_lower, saved, text_or_empty
 
 WINDOW = 10
-#: Distinct windows of the benchmark that one pass over the documents broadcasts.
+#: Distinct windows of the benchmark that are broadcast at a time.
 BLOCK_WINDOWS = 100_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -117,6 +119,16 @@ def _hits(docs: DataFrame, windows: DataFrame, sizes: list[int], first: bool) ->
     return found.where(own | F.col("wid").isNotNull()).select("key", "digest", F.size("words").alias("n_words"), F.col("place").alias("start"), F.col("size").alias("n"), "wid")
 
 
+def _in_blocks(read: DataFrame, windows: DataFrame, sizes: list[int], blocks: int) -> DataFrame:
+    """What ``_hits`` gives for all windows, block by block over the texts that share any fingerprint with them."""
+    marks = _fingerprinted(read, sizes).select("digest", F.explode_outer("marks").alias("m")).select("digest", "m.n", "m.fp")
+    prints = windows.select("n", "fp").distinct()
+    sharing = saved(marks.join(prints, ["n", "fp"]).select("digest").distinct(), "sharing-texts")
+    again = saved(read.join(sharing, "digest", "left_semi").select(read.columns), "texts-again")
+    own = read.select("key", "digest", F.size("words").alias("n_words"), F.lit(-1).alias("start"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("wid"))
+    return reduce(DataFrame.unionByName, [own, *(_hits(again, windows.where(F.pmod("wid", F.lit(blocks)) == b), sizes, False) for b in range(blocks))])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row for each row of ``docs``: the id, ``digest`` of the text, ``n_words``, ``n_hit``, ``items``, ``copies`` folded out.
 
@@ -127,7 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     sizes = sorted(r["n"] for r in windows.select("n").distinct().collect())
     blocks = max(1, -(-windows.count() // block_windows))
     read = docs.select(F.col(id_col).alias("key"), F.md5(text_or_empty(text_col).cast("binary")).alias("digest"), words_of(text_or_empty(text_col)).alias("words"))
-    hits = reduce(DataFrame.unionByName, [_hits(read, windows.where(F.pmod("wid", F.lit(blocks)) == b), sizes, b == 0) for b in range(blocks)])
+    hits = _hits(read, windows, sizes, True) if blocks == 1 else _in_blocks(read, windows, sizes, blocks)
     spans = F.collect_set(F.when(F.col("n") > 0, F.struct("start", "n")))
     texts = hits.groupBy("key", "digest").agg(F.max("n_words").cast("long").alias("n_words"), F.count(F.when(F.col("n") == 0, True)).alias("copies"), spans.alias("spans"), F.collect_set("wid").alias("wids"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("sum"))
@@ -147,7 +159,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str =
     """``docs`` without the rows whose texts hold a window of the benchmark; all columns stay."""
     found = contamination(docs.select(id_col, text_col), benchmark, id_col=id_col, text_col=text_col)
     leaks = saved(found.where("n_hit > 0").select(F.col("digest").alias("_leak")).distinct(), "leaks")
-    return docs.withColumn("_digest", F.md5(text_or_empty(text_col).cast("binary"))).join(leaks, F.col("_digest") == F.col("_leak"), "left_anti").select(*docs.columns)
+    # a row goes as one column, whose names clash with none
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.md5(text_or_empty(text_col).cast("binary")).alias("digest"))
+    return marked.join(leaks, F.col("digest") == F.col("_leak"), "left_anti").select("row.*")
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -33,5 +33,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _words_sql(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+#: Every window of every document looked up among the items' windows.
+_DECONTAMINATION = f"""
+with i as (select item_id::varchar as item, {_words_sql('text')} as w from benchmark),
+sized as (select item, w, least(10, len(w)) as n from i where len(w) > 0),
+windows as (select distinct item, n, array_to_string(w[s:s + n - 1], ' ') as run from (select item, w, n, unnest(range(1, len(w) - n + 2)) as s from sized)),
+runs as (select n, run, list(item) as items from windows group by n, run),
+d as (select row_number() over () as r, doc_id, {_words_sql('text')} as w from documents),
+places as (select r, n, p, array_to_string(w[p:p + n - 1], ' ') as run from (select r, w, n, unnest(range(1, len(w) - n + 2)) as p from d, (select distinct n from runs))),
+hits as (select r, n, p, items from places join runs using (n, run)),
+hit_words as (select r, count(distinct x) as n_hit from (select r, unnest(range(p, p + n)) as x from hits) group by r),
+hit_items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, unnest(items) as item from hits) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit_words using (r) left join hit_items using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": _DECONTAMINATION}
